@@ -2,17 +2,36 @@
 
 from __future__ import annotations
 
-_OP5 = """
-WITH rows AS (
-  SELECT doc_id, CAST(strlen(coalesce(text, '')) + 16 AS BIGINT) AS size, coalesce(text, '') AS text FROM documents
-), placed AS (
-  SELECT doc_id, size, text,
-         sum(size) OVER (ORDER BY doc_id) - size AS before,
-         sum(size) OVER () AS total FROM rows
-), cut AS (
-  SELECT *, CAST(least(39, ((2 * before + size) * 40) // (2 * total)) AS INTEGER) AS shard FROM placed
-)
-SELECT doc_id, size, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot FROM cut
+_OP3 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text FROM documents
+), w AS (
+  SELECT k, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws,
+         list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM d
+), windows AS (
+  SELECT k, i, ws[i] || chr(32) || ws[i + 1] || chr(32) || ws[i + 2] AS t
+  FROM (SELECT k, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) >= 3)
+), counted AS (
+  SELECT k, i, count(*) OVER (PARTITION BY k, t) AS n FROM windows
+), repeated AS (
+  SELECT k, count(DISTINCT j) AS n_repeat_words
+  FROM (SELECT k, unnest([i, i + 1, i + 2]) AS j FROM counted WHERE n >= 2) GROUP BY k
+), m AS (
+  SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words,
+         CAST(length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+         CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
+         len(lines) AS n_lines,
+         length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS n_upper,
+         length(text) - length(regexp_replace(text, '[A-Za-z]', '', 'g')) AS n_letters,
+         length(text) - length(regexp_replace(text, '[!?]', '', 'g')) AS n_marks
+  FROM w LEFT JOIN repeated USING (k)
+), f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR 5 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 15 * n_words
+            OR 2 * n_dup_lines > n_lines OR (2 * n_upper > n_letters AND n_letters > 0) OR 3 * n_marks > n_words) AS kept
+FROM f
 """
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op3_quality_rules": _OP3}

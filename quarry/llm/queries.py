@@ -19,6 +19,13 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, language.fit(docs.select("doc_id", "lang", "text"), ~held_out), held_out)
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality_rules
+
+    judged = quality_rules.judge(table(spark, sf_dir, "documents"))
+    return judged.drop("rejected_by")  # its value depends on measured times
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import sharding
 
