@@ -33,6 +33,15 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+
+    ship(spark)
+    docs, held_out = table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 4) == 2
+    tagged = toxicity.tag(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"), "toxic", ~held_out), held_out)
+    return tagged.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "spans")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from public_tokenizers import path
 

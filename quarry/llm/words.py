@@ -74,16 +74,21 @@ def spans(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = _SPACE) -> tu
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
     """A 64-bit hash of each word, after lower-casing A-Z."""
+    return run_hashes(data, starts, [ends], lower)[0]
+
+
+def run_hashes(data: np.ndarray, starts: np.ndarray, many_ends: list[np.ndarray], lower: bool = True) -> list[np.ndarray]:
+    """Hashes of the bytes from each start to each of its ends."""
     if not len(starts):
-        return np.zeros(0, dtype=np.uint64)
+        return [np.zeros(0, dtype=np.uint64) for _ in many_ends]
     with np.errstate(over="ignore"):
         values = (_LOWER[data] if lower else data).astype(np.uint64)
         values += np.uint64(1)
         values *= _power("up", _BASE, len(data))
         total = np.zeros(len(data) + 1, dtype=np.uint64)
         np.cumsum(values, out=total[1:])
-        hashes = (total[ends] - total[starts]) * _power("down", _INVERSE, len(data))[starts]
-    return mix(hashes)
+        before, unshift = total[starts], _power("down", _INVERSE, len(data))[starts]
+        return [mix((total[ends] - before) * unshift) for ends in many_ends]
 
 
 def grouped_words(column: pa.Array, lower: bool = True):
