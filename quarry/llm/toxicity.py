@@ -3,8 +3,8 @@
 Labels are of documents, so tokens are labelled first: a word or word beginning is a toxic key if
 its documents are toxic far more often than chance allows, and a token with a key in a toxic document
 is toxic. The field has two tags; a token's emission is a sum of hashed weights of its word
-and of its first 3, 4, 5 and 6 bytes. It is trained by gradient ascent on segments around toxic
-tokens and of clean documents. Forward-backward runs exactly over whole texts: blocks of tokens are
+and of its first 4, 5 and 6 bytes. It is trained by gradient ascent on a bounded number
+of segments around toxic tokens and of clean documents. Forward-backward runs exactly over whole texts: blocks of tokens are
 multiplied out side by side, then chained. A document's score is the noisy-or of its marginals from
 0.1 up; tokens with marginals from 0.5 up are its offending spans, as character offsets.
 
@@ -27,7 +27,7 @@ from .words import groups, mix, run_hashes, spans, text_buffers
 
 _GAP = np.ones(256, dtype=bool)
 _GAP[65:91] = _GAP[97:123] = _GAP[128:] = False
-_PREFIXES = (3, 4, 5, 6)
+_PREFIXES = (4, 5, 6)
 _BITS = 18
 _BLOCK = 64
 DDL = "doc_id long, held_out boolean, score double, spans array<struct<start:int,end:int>>"
@@ -112,20 +112,31 @@ class Field:
 
 
 def _keys_of_toxicity(keys: np.ndarray, first: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Feature hashes whose documents are toxic more often than chance allows, given how many features there are."""
+    """Feature hashes whose documents are toxic more often than chance allows, given how many features there are.
+
+    Documents with the same least word hash count as one, so that copies of a document don't add up.
+    """
+    held = np.flatnonzero(np.diff(first) > 0)
+    least = np.zeros(len(y), dtype=np.uint64)
+    least[held] = np.minimum.reduceat(keys[:, 0], first[held])
+    _, chosen = np.unique(np.stack([least, y.astype(np.uint64)], 1)[held], axis=0, return_index=True)
+    single = np.zeros(len(y), dtype=bool)
+    single[held[chosen]] = True
     doc = np.repeat(np.arange(len(y)), np.diff(first))
+    keys, doc, y = keys[single[doc]], doc[single[doc]], np.where(single, y, np.nan)
     found = np.unique(np.stack([keys.reshape(-1), np.repeat(doc, keys.shape[1]).astype(np.uint64)], 1), axis=0)
     feature, at = np.unique(found[:, 0], return_inverse=True)
     n1 = np.bincount(at, weights=y[found[:, 1].astype(int)], minlength=len(feature))
     n = np.bincount(at, minlength=len(feature))
-    p, n0 = y.mean(), n - n1
+    n1_all, n0_all = np.nansum(y), np.nansum(1 - y)
+    p, n0 = n1_all / (n1_all + n0_all), n - n1
     with np.errstate(divide="ignore", invalid="ignore"):
         evidence = np.where(n1 > 0, n1 * np.log(n1 / n / p), 0) + np.where(n0 > 0, n0 * np.log(n0 / n / (1 - p)), 0)
-    often = n1 / max(1, y.sum()) >= 5 * n0 / max(1, (1 - y).sum())
+    often = n1 / max(1, n1_all) >= 20 * (n0 + 0.05) / max(1, n0_all)
     return feature[often & (evidence > np.log(max(2, (n >= 4).sum())) + 2)]
 
 
-def train(texts: pa.Array, y: np.ndarray, rounds: int = 80, rate: float = 0.5, l2: float = 1e-6, length: int = 32, seed: int = 5) -> Field:
+def train(texts: pa.Array, y: np.ndarray, segments: int = 6000, rounds: int = 60, rate: float = 0.5, l2: float = 1e-6, length: int = 24, seed: int = 5) -> Field:
     """A field from whole texts and their document labels."""
     data, offsets = text_buffers(texts)
     parts, n = [], 0
@@ -145,7 +156,9 @@ def train(texts: pa.Array, y: np.ndarray, rounds: int = 80, rate: float = 0.5, l
     rng = np.random.default_rng(seed)
     clean = np.flatnonzero((y == 0) & (np.diff(first) > 0))
     begin = np.concatenate([np.maximum(np.flatnonzero(tag) - rng.integers(0, length, int(tag.sum())), first[:-1][doc[tag]]), *[first[clean] + rng.integers(0, np.diff(first)[clean]) for _ in range(4)]])
+    mixed = rng.permutation(len(begin))[:segments]
     stop = np.minimum(begin + length, np.concatenate([first[1:][doc[tag]], *[first[1:][clean]] * 4]))
+    begin, stop = begin[mixed], stop[mixed]
     at = begin[:, None] + np.arange(length)
     real = at < stop[:, None]
     at = np.where(real, at, 0)
@@ -153,8 +166,8 @@ def train(texts: pa.Array, y: np.ndarray, rounds: int = 80, rate: float = 0.5, l
     z[real] = tag[at[real]]
     before = np.hstack([np.zeros((len(z), 1)), z[:, :-1]])
     counts = np.array([[((1 - before) * (1 - z))[real].sum(), ((1 - before) * z)[real].sum()], [(before * (1 - z))[real].sum(), (before * z)[real].sum()]])
-    field = Field(np.zeros(1 << _BITS), -2.0, np.zeros((2, 2)))
-    square, square_b, square_s = np.full(1 << _BITS, 1e-8), 1e-8, np.full((2, 2), 1e-8)
+    field = Field(np.zeros(1 << _BITS), -8.0, np.zeros((2, 2)))  # fixed: an unknown word is clean
+    square, square_s = np.full(1 << _BITS, 1e-8), np.full((2, 2), 1e-8)
     total = len(slots)
     for _ in range(rounds):
         e = np.full(at.shape, 0.0)
@@ -178,13 +191,11 @@ def train(texts: pa.Array, y: np.ndarray, rounds: int = 80, rate: float = 0.5, l
             b = np.where(real[:, t : t + 1], c / c.sum(1, keepdims=True), b)
         error = (z - m)[real]
         g = np.bincount(slots.reshape(-1), weights=np.repeat(error, slots.shape[1]), minlength=1 << _BITS) / total - l2 * field.weights
-        gb, gs = error.sum() / total, (counts - expected) / total
+        gs = (counts - expected) / total
         square += g * g
-        square_b += gb * gb
         square_s += gs * gs
         field.weights += rate * g / np.sqrt(square)
-        field.bias += rate * gb / np.sqrt(square_b)
-        field.steps += rate * gs / np.sqrt(square_s)
+        field.steps += rate / 20 * gs / np.sqrt(square_s)
     return field
 
 
