@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import remainder, ship, table
+from .common import Stage, remainder, ship, table
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,15 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.drop("rejected_by")  # its value depends on measured times
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import lm
+
+    ship(spark)
+    docs, held_out, stage = table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 7) == 2, Stage(spark, "lm")
+    model, counts = lm.fit(docs.where(~held_out), stage)
+    return lm.score(docs, model, counts, held_out, stage)
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import sharding
 
