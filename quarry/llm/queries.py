@@ -10,6 +10,13 @@ from pyspark.sql import functions as F
 from .common import Stage, remainder, ship, table
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import near_dedup
+
+    ship(spark)
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), percent=75)
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import language
 
