@@ -56,7 +56,7 @@ _HEADING, _FENCE = re.compile(r"(#{1,6})\s+(.*?)\s*#*\s*$"), re.compile(r"\s*(``
 _CLOSER = re.compile(r"[})\]]|end\b|</|fi\b|done\b|esac\b|elif\b|else\b|except\b|finally\b|catch\b")
 _DEFINITION = re.compile(
     r"^\s*(?:(?:pub(?:\([a-z]+\))?|async|export|default|public|private|protected|static|final|abstract|override|unsafe|virtual|sealed|data|open|internal|local|inline|const(?=\s+fn))\s+)*"
-    r"(?:fn|def|class|struct|enum|trait|impl|mod|function|func|interface|type|object|record|namespace|module|fun|protocol|extension|sub)\b\s*(?:<[^>]*>\s*)?(?:\([^)]*\)\s*)?\*?\s*([A-Za-z_$][\w$:.]*)"
+    r"(?:fn|def|class|struct|enum|trait|impl|mod|function|func|interface|type|object|record|namespace|module|fun|protocol|extension|sub)\b\s*(?:<[^>]*>\s*)?(?:\([^)]*\)\s*)?\*?\s*([A-Za-z_$][\w$]*(?:(?:::|\.)[\w$]+)*)"
 )
 _ARROW = re.compile(r"^\s*(?:export\s+)?(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=\s*(?:async\s*)?(?:\([^)]*\)|[A-Za-z_$][\w$]*)\s*=>")
 _CREATE = re.compile(r"^\s*create\s+(?:or\s+replace\s+)?(?:temp(?:orary)?\s+)?(?:unique\s+)?(?:table|view|index|function|procedure|trigger|type|schema)\s+(?:if\s+not\s+exists\s+)?([\w.\"`]+)", re.I)

@@ -16,17 +16,21 @@ def rank_key(weight: Column, at: Column) -> Column:
     return F.ln(weight) + DECAY * at
 
 
-def statistics(uses: DataFrame) -> DataFrame:
-    """item_id, uses, last_used_at, rank_key of uses (item_id, weight, at).
-
-    Uses are first added up by their whole part in log space (a bounded number of groups for each item), then shifted
-    by the item's largest: both steps combine before their shuffle, and hot items are not gathered.
-    """
+def by_unit(uses: DataFrame) -> DataFrame:
+    """Sums of uses (item_id, weight, at) by item and whole part in log space: a bounded number of rows for each item, combined before the shuffle."""
     keyed = uses.withColumn("k", rank_key(F.col("weight"), F.col("at"))).withColumn("unit", F.floor("k"))
-    by_unit = keyed.groupBy("item_id", "unit").agg(F.sum(F.exp(F.col("k") - F.col("unit"))).alias("s"), F.count("*").alias("uses"), F.max("at").alias("last_used_at"))
-    top = by_unit.groupBy("item_id").agg(F.max("unit").alias("top"))
-    joined = by_unit.join(top, "item_id")
-    return joined.groupBy("item_id").agg(F.sum("uses").alias("uses"), F.max("last_used_at").alias("last_used_at"), (F.first("top") + F.ln(F.sum(F.col("s") * F.exp(F.col("unit") - F.col("top"))))).alias("rank_key"))
+    return keyed.groupBy("item_id", "unit").agg(F.sum(F.exp(F.col("k") - F.col("unit"))).alias("s"), F.count("*").alias("uses"), F.max("at").alias("last_used_at"))
+
+
+def folded(sums: DataFrame) -> DataFrame:
+    """item_id, uses, last_used_at, rank_key of the sums by unit, shifted by each item's largest unit."""
+    top = sums.withColumn("top", F.max("unit").over(Window.partitionBy("item_id")))
+    return top.groupBy("item_id").agg(F.sum("uses").alias("uses"), F.max("last_used_at").alias("last_used_at"), (F.first("top") + F.ln(F.sum(F.col("s") * F.exp(F.col("unit") - F.col("top"))))).alias("rank_key"))
+
+
+def statistics(uses: DataFrame) -> DataFrame:
+    """item_id, uses, last_used_at, rank_key of uses (item_id, weight, at)."""
+    return folded(by_unit(uses))
 
 
 def merge(stored: DataFrame, new: DataFrame) -> DataFrame:

@@ -479,7 +479,7 @@ def change_passes(spark, d):
 
 def usage_stream_fold(spark, d):
     """Sums as a stream keeps them, folded; equals usage_frecency."""
-    s = stream_usage.folded(stream_usage.running(M.uses(spark, d)))
+    s = usage.folded(stream_usage.running(M.uses(spark, d)))
     return s.select("item_id", "uses", "last_used_at", F.round(usage.frecency(F.col("rank_key"), EVENT_NOW), 6).alias("frecency"))
 
 

@@ -21,10 +21,12 @@ def coalesced(hints: DataFrame) -> DataFrame:
 def passes(hints: DataFrame, watermark: str = "10 seconds") -> DataFrame:
     """A row for each pass: the window from its first hint until a quiet gap, and whether it has to rescan everything.
 
-    Works on streams and tables. Paths are counted by hash sketches of bounded size; beyond MOST_PATHS a pass rescans.
+    On a table passes are over all hints. On a stream they are kept by the first folder of the path (hints without a path by
+    themselves), because sessions of a stream need a key. Paths are counted by sketches of bounded size; beyond MOST_PATHS a pass rescans.
     """
-    timed = relevant(hints)
-    timed = timed.withWatermark("ts", watermark) if hints.isStreaming else timed
-    return timed.groupBy(F.session_window("ts", QUIET).alias("w")).agg(F.count("*").alias("hints"), F.max("rescan").alias("lost"), F.approx_count_distinct("path", 0.01).alias("paths")).select(
-        F.col("w.start").alias("start"), F.col("w.end").alias("end"), "hints", "paths", (F.col("lost") | (F.col("paths") > MOST_PATHS)).alias("rescan")
-    )
+    timed, keys = relevant(hints), []
+    if hints.isStreaming:
+        timed = timed.withWatermark("ts", watermark).withColumn("root", F.coalesce(F.get(F.split("path", "/"), F.lit(1)), F.lit("")))
+        keys = ["root"]
+    summed = timed.groupBy(F.session_window("ts", QUIET).alias("w"), *keys).agg(F.count("*").alias("hints"), F.max("rescan").alias("lost"), F.approx_count_distinct("path", 0.01).alias("paths"))
+    return summed.select(*keys, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "hints", "paths", (F.col("lost") | (F.col("paths") > MOST_PATHS)).alias("rescan"))

@@ -3,22 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from quarry.operators import usage
 
 
 def running(uses: DataFrame) -> DataFrame:
-    """A streaming aggregate of uses (item_id, weight, at): sums by item and whole part in log space, which a reader folds with `folded`."""
-    keyed = uses.withColumn("k", usage.rank_key(F.col("weight"), F.col("at"))).withColumn("unit", F.floor("k"))
-    return keyed.groupBy("item_id", "unit").agg(F.sum(F.exp(F.col("k") - F.col("unit"))).alias("s"), F.count("*").alias("uses"), F.max("at").alias("last_used_at"))
-
-
-def folded(sums: DataFrame) -> DataFrame:
-    """item_id, uses, last_used_at, rank_key of the running sums."""
-    top = sums.groupBy("item_id").agg(F.max("unit").alias("top"))
-    return sums.join(top, "item_id").groupBy("item_id").agg(F.sum("uses").alias("uses"), F.max("last_used_at").alias("last_used_at"), (F.first("top") + F.ln(F.sum(F.col("s") * F.exp(F.col("unit") - F.col("top"))))).alias("rank_key"))
+    """A streaming aggregate of uses (item_id, weight, at), which a reader folds with `usage.folded`."""
+    return usage.by_unit(uses)
 
 
 def write_statistics(uses: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
