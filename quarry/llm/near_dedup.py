@@ -10,9 +10,10 @@ Within a key, every member is first compared with the least member (a star, neve
 candidate passes if the sizes allow the similarity and the Jaccard estimate from equal registers,
 corrected for expected register collisions, is not below the threshold by more than its error; then
 the full sets decide. Connected classes need no further comparison: only keys that still hold
-several components are searched again, members outside the star's component against all others, in
-blocks of bounded size. Of those candidates the likeliest for each member and component are verified
-first, the rest where the two are still apart.
+several components are searched again. Keys of few members are joined with themselves. In others, members outside the star's
+component are compared with all others in blocks of bounded size, which hold the full sets and return only the
+links that join components: first in the largest key of each star, then in all keys that are left. So a large group of
+near copies costs no row for each of its pairs.
 
 With 32 bands of 4 registers a link at similarity 0.75 is missed with probability 5e-6, at 0.8 with
 5e-8. Documents without words have the empty set and are linked with nothing. Null ids can't be
@@ -44,6 +45,8 @@ _SMALL = 64
 #: Bits of the candidate filter: 8 MB at any size of the corpus.
 _FILTER_BITS = 1 << 26
 _FEW, _LEFT, _ALL = 24, 256, 2048
+#: Shingles of a block, so that its sets take tens of MB.
+_LEFT_SHINGLES, _ALL_SHINGLES = 500_000, 2_000_000
 
 
 def shingles(h: np.ndarray) -> np.ndarray:
@@ -154,21 +157,26 @@ def floor(percent: int) -> float:
     return j - 5 * (j * (1 - j) / BUCKETS) ** 0.5
 
 
-def verified(pairs: DataFrame, texts: DataFrame, stage: Stage, name: str, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity. Only texts of documents in a pair are moved."""
-    pairs = stage.put(pairs, f"{name}-pairs")
+def _needed(ids: DataFrame, texts: DataFrame) -> DataFrame:
+    """The texts of ids and of few others: a bit map of bounded size goes to the workers, so no other text is moved."""
     slot = F.pmod(F.xxhash64("id"), F.lit(_FILTER_BITS))
-    used = pairs.select(F.explode(F.array("a", "b")).alias("id")).select(slot.alias("s")).groupBy(F.floor(F.col("s") / 64).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("bits")).toArrow()  # _FILTER_BITS / 64 rows at most
+    used = ids.select(slot.alias("s")).groupBy(F.floor(F.col("s") / 64).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("bits")).toArrow()  # _FILTER_BITS / 64 rows at most
     words = np.zeros(_FILTER_BITS // 64, dtype=np.int64)
     words[np.asarray(used.column("w"))] = np.asarray(used.column("bits"))
-    shared = pairs.sparkSession.sparkContext.broadcast(words)
+    shared = ids.sparkSession.sparkContext.broadcast(words)
 
-    def needed(batches):
+    def run(batches):
         for batch in batches:
             s = np.asarray(batch.column("s"))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text")], names=["id", "text"]).filter(pa.array(shared.value[s // 64] >> (s % 64) & 1 == 1))
 
-    found = stage.put(texts.select("id", "text", slot.alias("s")).mapInArrow(needed, "id long, text string"), f"{name}-texts")
+    return texts.select("id", "text", slot.alias("s")).mapInArrow(run, "id long, text string")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, stage: Stage, name: str, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the similarity. Only texts of documents in a pair are moved."""
+    pairs = stage.put(pairs, f"{name}-pairs")
+    found = stage.put(_needed(pairs.select(F.explode(F.array("a", "b")).alias("id")), texts), f"{name}-texts")
 
     def compare(batches):
         kept: dict[int, np.ndarray] = {}
@@ -201,39 +209,91 @@ def verified(pairs: DataFrame, texts: DataFrame, stage: Stage, name: str, percen
     return edges
 
 
-def _apart(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b, est) across components within keys.
+def _sizes(members: DataFrame) -> DataFrame:
+    """Keys that hold several components, with how many rows and shingles are in all and outside the star's component; of keys with the same members one."""
+    out = F.col("component") != F.col("lead")
+    sizes = members.groupBy("key").agg(
+        F.count("*").alias("all"), F.sum("n").alias("all_n"), F.count(F.when(out, 1)).alias("left"), F.sum(F.when(out, F.col("n"))).alias("left_n"),
+        F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("same"), F.max("lead").alias("lead"),
+    )
+    return sizes.where("left > 0 and all > 2").groupBy("all", "all_n", "left", "left_n", "same", "lead").agg(F.min("key").alias("key")).drop("same")
+
 
-    members: key, id, component, lead (component of the key's star). Keys of up to _FEW members are
-    joined with themselves. In others, members outside the star's component are dealt to blocks of about _LEFT, all members to blocks of about _ALL; each pair of
-    blocks is one group.
-    """
-    sizes = members.groupBy("key").agg(F.count("*").alias("all"), F.sum((F.col("component") != F.col("lead")).cast("long")).alias("left"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("same"))
-    sizes = sizes.where("left > 0 and all > 2").groupBy("all", "left", "same").agg(F.min("key").alias("key"))  # keys with the same members are searched once
+def _few(members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Pairs (a, b) across components in keys of at most _FEW members."""
     few = members.join(sizes.where(F.col("all") <= _FEW).select("key"), "key")
     mine = few.where("component != lead").select("key", F.col("id").alias("left"), F.col("component").alias("mine"))
-    small = mine.join(few.select("key", F.col("id").alias("right"), F.col("component").alias("other")), "key").where("mine != other")
-    small = small.select(F.least("left", "right").alias("a"), F.greatest("left", "right").alias("b"), "left", "other").groupBy("a", "b").agg(F.max("left").alias("left"), F.max("other").alias("other"))
-    sizes = sizes.where(F.col("all") > _FEW)
-    spread = lambda n, per: F.ceil(F.col(n) / per).cast("int")
-    dealt = members.join(sizes, "key").withColumn("lefts", spread("left", _LEFT)).withColumn("alls", spread("all", _ALL)).join(classes.select("id", "n", "registers"), "id")
-    h, out = F.xxhash64("id", "key"), F.col("component") != F.col("lead")
-    as_all = dealt.select("key", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("l"), F.pmod(h, F.col("alls")).cast("int").alias("r"), "id", "component", "n", "registers", F.lit(False).alias("build"))
-    as_left = dealt.where(out).select("key", F.pmod(h, F.col("lefts")).cast("int").alias("l"), F.explode(F.sequence(F.lit(0), F.col("alls") - 1)).alias("r"), "id", "component", "n", "registers", F.lit(True).alias("build"))
+    both = mine.join(few.select("key", F.col("id").alias("right"), F.col("component").alias("other")), "key").where("mine != other")
+    return both.select(F.least("left", "right").alias("a"), F.greatest("left", "right").alias("b")).distinct()
+
+
+def _roots(n: int):
+    parent = list(range(n))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    return parent, find
+
+
+def linked(left: pd.DataFrame, right: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
+    """Links between rows of two blocks that join different components, until none is left: columns id, component, n, registers, shingles."""
+    labels, local = np.unique(np.concatenate([left.component.to_numpy(), right.component.to_numpy()]), return_inverse=True)
+    mine, theirs = local[: len(left)], local[len(left) :]
+    parent, find = _roots(len(labels))
+    registers, sizes, ids = _registers(right.registers), right.n.to_numpy(), right.id.to_numpy()
+    sets = [np.frombuffer(x, dtype=np.uint64) for x in right.shingles]
+    values, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    begin = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    out = []
+    for r, n, i, c, own in zip(_registers(left.registers), left.n, left.id, mine, left.shingles):
+        est = estimate(registers, r[None], sizes, n)
+        open_ = np.flatnonzero(_sized(sizes, n, percent) & ((est >= floor(percent)) | (np.minimum(sizes, n) < _SMALL)))
+        open_ = open_[np.argsort(-est[open_], kind="stable")]
+        own = np.frombuffer(own, dtype=np.uint64)
+        mark = np.zeros(len(values), dtype=bool)
+        at = np.minimum(np.searchsorted(values, own), len(values) - 1)
+        mark[at[values[at] == own]] = True
+        step = 8
+        while len(open_):
+            root = find(c)
+            open_ = open_[[find(theirs[j]) != root for j in open_]]
+            tried, open_, step = open_[:step], open_[step:], step * 4
+            for j in tried:
+                common = int(mark[flat[begin[j] : begin[j + 1]]].sum())
+                if 100 * common >= percent * (n + sizes[j] - common) and find(theirs[j]) != find(c):
+                    parent[find(theirs[j])] = find(c)
+                    out.append((min(i, ids[j]), max(i, ids[j])))
+    return out
+
+
+def _many(members: DataFrame, sizes: DataFrame, classes: DataFrame, texts: DataFrame, stage: Stage, name: str, percent: int) -> DataFrame:
+    """Links (a, b) across components in the keys of sizes, found in pairs of blocks."""
+    blocks = lambda rows, most, n, most_n: F.ceil(F.greatest(F.col(rows) / most, F.col(n) / most_n)).cast("int")
+    wanted = sizes.select("key", blocks("left", _LEFT, "left_n", _LEFT_SHINGLES).alias("lefts"), blocks("all", _ALL, "all_n", _ALL_SHINGLES).alias("alls"))
+    dealt = stage.put(members.select("key", "id", "n", "component", "lead").join(wanted, "key"), f"{name}-dealt")
+
+    def run(batches):
+        for batch in batches:
+            sets = [shingles(h[first[k] : first[k + 1]]).tobytes() for _, h, first in grouped_words(batch.column("text")) for k in range(len(first) - 1)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.binary())], names=["id", "shingles"])
+
+    sets = stage.put(_needed(dealt.select("id").distinct(), texts).mapInArrow(run, "id long, shingles binary"), f"{name}-sets")
+    full = dealt.join(classes.select("id", "registers"), "id").join(sets, "id")
+    h, columns = F.xxhash64("id", "key"), ("id", "component", "n", "registers", "shingles")
+    right = full.select("key", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("l"), F.pmod(h, F.col("alls")).cast("int").alias("r"), *columns, F.lit(False).alias("build"))
+    left = full.where("component != lead").select("key", F.pmod(h, F.col("lefts")).cast("int").alias("l"), F.explode(F.sequence(F.lit(0), F.col("alls") - 1)).alias("r"), *columns, F.lit(True).alias("build"))
 
     def search(p: pd.DataFrame) -> pd.DataFrame:
-        left, right = p[p.build], p[~p.build]
-        out = []
-        if len(left) and len(right):
-            rr, rn, ri, rc = _registers(right.registers), right.n.to_numpy(), right.id.to_numpy(), right.component.to_numpy()
-            for r, n, i, c in zip(_registers(left.registers), left.n, left.id, left.component):
-                est = estimate(rr, r[None], rn, n)
-                good = (rc != c) & _sized(rn, n, percent) & ((est >= floor(percent)) | (np.minimum(rn, n) < _SMALL))
-                out += [(min(i, j), max(i, j), i, k, e) for j, k, e in zip(ri[good], rc[good], est[good])]
-        return pd.DataFrame(out, columns=["a", "b", "left", "other", "est"])
+        build, probe = p[p.build], p[~p.build]
+        return pd.DataFrame(linked(build, probe, percent) if len(build) and len(probe) else [], columns=["a", "b"])
 
-    blocks = as_all.unionByName(as_left).groupBy("key", "l", "r").applyInPandas(search, "a long, b long, left long, other long, est double")
-    return likely(small, classes, percent).unionByName(blocks).groupBy("a", "b").agg(F.max("est").alias("est"), F.max("left").alias("left"), F.max("other").alias("other"))
+    found = stage.put(right.unionByName(left).groupBy("key", "l", "r").applyInPandas(search, "a long, b long"), f"{name}-edges")
+    stage.drop(f"{name}-dealt", f"{name}-sets")
+    return found
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -252,16 +312,26 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     several = placed_rows.where("class is not null and id is not null").groupBy("id").agg(F.min("class").alias("a"), F.max("class").alias("top")).where("a < top").select("id", "a")
     edges = edges.unionByName(placed_rows.join(several, "id").select("a", F.col("class").alias("b")).where("a != b").distinct())  # rows of one id are one document
     found = components(edges, stage, "first")
-    placed = members.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    placed = stage.put(placed.join(found.select(F.col("id").alias("lead"), F.col("component").alias("lead_c")), "lead", "left").select("key", "id", "component", F.coalesce("lead_c", "lead").alias("lead")), "placed")
-    apart = stage.put(_apart(placed, classes, percent), "apart")
-    if not apart.isEmpty():
-        best = apart.groupBy("left", "other").agg(F.max_by(F.struct("a", "b"), F.struct("est", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
-        edges = edges.unionByName(verified(best, texts, stage, "second", percent))
-        found = components(edges, stage, "middle")
-        where = lambda x: found.select(F.col("id").alias(x), F.col("component").alias(f"c_{x}"))
-        rest = apart.select("a", "b").join(where("b"), "b", "left").join(where("a"), "a", "left").where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
-        edges = edges.unionByName(verified(rest.join(best, ["a", "b"], "left_anti"), texts, stage, "last", percent))
+
+    def placed(found: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        """Members and keys with the components so far."""
+        of = lambda x, c: found.select(F.col("id").alias(x), F.col("component").alias(c))
+        now = members.select("key", "id", "n", F.col("lead").alias("star")).join(of("id", "component"), "id", "left").join(of("star", "lead"), "star", "left")
+        now = stage.put(now.select("key", "id", "n", F.coalesce("component", "id").alias("component"), F.coalesce("lead", "star").alias("lead")), f"{name}-members")
+        return now, stage.put(_sizes(now), f"{name}-sizes")
+
+    now, sizes = placed(found, "first")
+    pairs = stage.put(likely(_few(now, sizes), classes, percent).select("a", "b"), "few")
+    more = pairs if pairs.isEmpty() else verified(pairs, texts, stage, "few", percent)
+    many = sizes.where(F.col("all") > _FEW)
+    if not many.isEmpty():
+        largest = many.groupBy("lead").agg(F.max_by("key", F.struct("all", "key")).alias("key")).select("key")
+        edges = edges.unionByName(more).unionByName(_many(now, many.join(largest, "key", "left_semi"), classes, texts, stage, "largest", percent))
+        found = components(edges, stage, "second")
+        now, sizes = placed(found, "second")
+        more = _many(now, sizes.where(F.col("all") > _FEW), classes, texts, stage, "rest", percent)
+    if not more.isEmpty():
+        edges = edges.unionByName(more)
         found = components(edges, stage, "final")
     placed_rows = placed_rows.join(found.select(F.col("id").alias("class"), "component"), "class", "left")
     whole = placed_rows.groupBy("id").agg(F.max("n").alias("n_shingles"), F.min(F.coalesce("component", "class", "id")).alias("component_id"))
