@@ -119,11 +119,12 @@ def hits(words: list[int], template: list[int], min_coverage: float) -> list[tup
         spare -= template.count(w)
         if spare <= 0:
             break
-    out, reach = [], -1
+    out, reach, slack = [], -1, max(2, len(template) // 4)
     for i in sorted(seeds):
         if i <= reach:
             continue
-        lo, hi = max(reach + 1, i - 2 * len(template)), min(len(words), i + 2 * len(template) + 1)
+        p = template.index(words[i])
+        lo, hi = max(reach + 1, i - p - slack), min(len(words), i - p + len(template) + slack)
         run = _best_run(align(template, words[lo:hi]))
         if len(run) >= needed:
             out.append((len(run) / len(template), lo + run[0][1], lo + run[-1][1]))
