@@ -114,11 +114,19 @@ class Field:
 def _keys_of_toxicity(keys: np.ndarray, first: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Feature hashes whose documents are toxic more often than chance allows, given how many features there are.
 
-    Documents with the same least word hash count as one, so that copies of a document don't add up.
+    Documents with the same least hash of four neighbouring tokens count as one, so that copies of a document don't add up.
     """
     held = np.flatnonzero(np.diff(first) > 0)
+    runs = keys[:, 0].copy()
+    for k in range(1, 4):
+        runs[:-k] = mix(runs[:-k] + keys[k:, 0])
     least = np.zeros(len(y), dtype=np.uint64)
-    least[held] = np.minimum.reduceat(keys[:, 0], first[held])
+    inside = np.ones(len(runs), dtype=bool)
+    for k in range(1, 4):
+        last = first[1:][np.diff(first) > k] - k
+        inside[last] = False
+    least[held] = np.minimum.reduceat(np.where(inside, runs, np.uint64(2**64 - 1)), first[held])
+    least[held] = np.where(np.diff(first)[held] > 3, least[held], keys[first[held], 0])
     _, chosen = np.unique(np.stack([least, y.astype(np.uint64)], 1)[held], axis=0, return_index=True)
     single = np.zeros(len(y), dtype=bool)
     single[held[chosen]] = True
