@@ -1,7 +1,7 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame operations only.
 
 A text's words, without punctuation at their ends, become template tokens: a word with a digit is a number, a
-known unit after a number is a unit, a word that begins with a capital is a name, all others are
+known unit after a number is a unit, a word that begins with a capital within a sentence is a name, all others are
 themselves in lower case. Hashes of windows of `WINDOW` tokens are joined with those of the benchmark's
 items. Matches of one document and item on one diagonal are put together; where they cover
 enough of the item, the values in the placeholders are compared: each value of the item has to
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import GAP, Stage, base_columns
 
 WINDOW, LONG_MATCH = 8, 13
-NUMBER, NAME, UNIT = "0", "1", "2"
+NUMBER, NAME, UNIT = "0", "₁", "₂"
 #: Unit words that follow a number.
 UNITS = """% percent mm cm m km in inch inches ft feet yd yards mi mile miles mg g kg t lb lbs oz ml l litre litres liter liters
 s sec seconds second min minutes minute h hour hours day days week weeks month months year years ms hz khz mhz ghz w kw
@@ -31,16 +31,23 @@ stunden tage ans jours heures horas días años""".split()
 #: Rows up to which a side is broadcast (16 bytes a row, so tens of MB); beyond it joins shuffle.
 BROADCAST_ROWS = 2_000_000
 
-_BREAK = r"\x20\x09-\x0D"
-_CLEAN = rf"trim(BOTH ' ' FROM regexp_replace(regexp_replace(coalesce(text, ''), r'[.,;:!?\"()\[\]]+(?=[{_BREAK}]|$)', ''), r'{GAP}', ' '))"
-_TEMPLATE = "lower(regexp_replace(regexp_replace(regexp_replace(clean, r'[^ \\d]*+\\d[^ ]*', '0'), r'(?<![^ ])\\p{{Lu}}[^ ]*', '1'), r'(?<=(?:^| )0 )(?:{units})(?![^ ])', '2'))"
+# Each pattern can begin only where a run begins, so that a very long word takes linear time.
+_BREAK, _ENDS = r"\x20\x09-\x0D", r".,;:!?\"()\[\]"
+_CLEAN = rf"trim(BOTH ' ' FROM regexp_replace(regexp_replace({{text}}, r'(?<![{_ENDS}])[{_ENDS}]++(?=[{_BREAK}]|$)', ''), r'{GAP}', ' '))"
+_NAMES = rf"regexp_replace(coalesce(text, ''), r'(?<=[^.!?:;\"{_BREAK}]\x20)\p{{{{Lu}}}}[^{_BREAK}]*', '{NAME}')"
+_TEMPLATE = "lower(regexp_replace(regexp_replace({names}, r'(?<![^ ])[^ \\d]*+\\d[^ ]*', '{number}'), r'(?<=(?:^| ){number} )(?:{units})(?![^ ])', '{unit}'))"
+
+
+def _words(text: str = "coalesce(text, '')") -> str:
+    """SQL for the words of a text joined by single spaces."""
+    return _CLEAN.format(text=text)
 
 
 def _templates(texts: DataFrame, *keep: str) -> DataFrame:
-    """Adds clean (words joined by one space) and t (template tokens)."""
+    """Adds t, the template tokens; texts without a word go."""
     units = "|".join(u.replace("%", "[%]") for u in UNITS)
-    cleaned = texts.select(*keep, F.expr(_CLEAN).alias("clean")).where("clean != ''")
-    return cleaned.select(*keep, "clean", F.split(F.expr(_TEMPLATE.format(units=units)), " ").alias("t"))
+    template = _TEMPLATE.format(names=_words(_NAMES.format()), number=NUMBER, unit=UNIT, units=units)
+    return texts.select(*keep, F.expr(template).alias("template")).where("template != ''").select(*keep, F.split("template", " ").alias("t"))
 
 
 def _windows(sizes: list[int]) -> str:
@@ -61,7 +68,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_
     stage = Stage(docs.sparkSession, "decontamination")
     # Items: equal texts are searched once, as the least id.
     items = benchmark.select(benchmark[item_col].alias("item_id"), benchmark[text_col].alias("text")).groupBy("text").agg(F.min("item_id").alias("item_id"))
-    items = stage.put(_templates(items, "item_id").withColumn("braw", F.split("clean", " ")).drop("clean"), "items")
+    items = stage.put(_templates(items.withColumn("braw", F.split(F.expr(_words()), " ")), "item_id", "braw"), "items")
     sizes = [r.n for r in items.where(F.size("t") < WINDOW).select(F.size("t").alias("n")).distinct().collect()]  # under WINDOW values
     found = items.select("item_id", "t", F.explode(F.expr(_windows(sizes))).alias("w")).select("item_id", "t", "w.*").where((F.col("width") == WINDOW) | (F.size("t") == F.col("width")))
     literals = F.size(F.filter(F.slice("t", F.col("pos") + 1, F.col("width")), lambda x: ~x.isin(NUMBER, NAME, UNIT)))
@@ -76,7 +83,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_
     hits = stage.put(hits, "hits")
     ids = stage.put(hits.select("doc_id", "own").distinct(), "ids")
     raw = texts.withColumn("own", F.xxhash64("text")).join(_checked(ids, ids.count()), ["doc_id", "own"], "left_semi")
-    raw = raw.dropDuplicates(["doc_id", "own"]).select("doc_id", "own", F.split(F.expr(_CLEAN), " ").alias("draw"))
+    raw = raw.dropDuplicates(["doc_id", "own"]).select("doc_id", "own", F.split(F.expr(_words()), " ").alias("draw"))
     joined = hits.join(raw, ["doc_id", "own"]).join(_checked(items, n_windows), "item_id")
     covered = joined.withColumn("covered", F.expr("array_sort(array_distinct(flatten(transform(at, x -> sequence(x.bpos, x.bpos + x.width - 1)))))"))
     slots = covered.withColumn("slots", F.expr(f"array_distinct(transform(filter(covered, p -> get(t, p) in ('{NUMBER}', '{NAME}', '{UNIT}')), p -> struct(get(braw, p) as b, get(draw, p + shift) as d)))"))
