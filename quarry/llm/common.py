@@ -16,8 +16,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
 
+#: Rows and bytes of a batch that goes to a Python worker: with very long texts the default of 10,000 rows would take GBs.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+
+
 def ship(spark: SparkSession) -> None:
-    """Make this package importable on Python workers where neither PYTHONPATH nor the working folder offers it."""
+    """Prepare a session for Python workers: batches of bounded size, and this package where neither PYTHONPATH nor the working folder offers it."""
+    for key, most in BATCHES.items():
+        if spark.conf.get(key, None) is None:  # a session's own choice stays
+            spark.conf.set(key, str(most))
     sc, root = spark.sparkContext, Path(__file__).resolve().parents[2]
     known = {Path(p or ".").resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p} | {Path.cwd()}
     if root in known or getattr(sc, "_quarry_shipped", False):
@@ -52,9 +59,11 @@ class Stage:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        self.paths: dict[str, str] = {}
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.base}/{name}"
+        path = f"{self.base}/{len(self.paths)}-{name}"
+        self.paths[name] = path
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
@@ -62,7 +71,7 @@ class Stage:
         """Remove tables that no later plan reads."""
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
+            path = jvm.org.apache.hadoop.fs.Path(self.paths[name])
             path.getFileSystem(conf).delete(path, True)
 
 
