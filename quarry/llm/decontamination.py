@@ -3,10 +3,12 @@
 A text's words, without punctuation at their ends, become template tokens: a word with a digit is a number, a
 known unit after a number is a unit, a word that begins with a capital within a sentence is a name, all others are
 themselves in lower case. Hashes of windows of `WINDOW` tokens are joined with those of the benchmark's
-items. Matches of one document and item on one diagonal are put together; where they cover
-enough of the item, the values in the placeholders are compared: each value of the item has to
-stand for one value of the document, up to one conflict in five, as it does in a copy (equal values) and in
-a re-parameterised question (consistently other values).
+items, and so are hashes of the words themselves, in lower case but for capitals within a word. Windows of which
+more than half are placeholders are compared by their words alone: their copies are found, other values there aren't.
+Matches of one document and item on one diagonal are put together; where they cover enough of the item, the
+values in the placeholders are compared: each value of the item has to stand for one value of the document, up to
+one conflict in five, as it does in a copy (equal values) and in a re-parameterised question (consistently other
+values).
 
 Null and empty texts match nothing. Items without a word are ignored, items shorter than a window
 are looked for as a whole. Empty tables give no rows. Rows without an id can't be reported and are kept by
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import GAP, Stage, base_columns
 
 WINDOW, LONG_MATCH = 8, 13
-NUMBER, NAME, UNIT = "0", "₁", "₂"
+NUMBER, NAME, UNIT = "₀", "₁", "₂"
 #: Unit words that follow a number.
 UNITS = """% percent mm cm m km in inch inches ft feet yd yards mi mile miles mg g kg t lb lbs oz ml l litre litres liter liters
 s sec seconds second min minutes minute h hour hours day days week weeks month months year years ms hz khz mhz ghz w kw
@@ -36,6 +38,8 @@ _BREAK, _ENDS = r"\x20\x09-\x0D", r".,;:!?\"()\[\]"
 _CLEAN = rf"trim(BOTH ' ' FROM regexp_replace(regexp_replace({{text}}, r'(?<![{_ENDS}])[{_ENDS}]++(?=[{_BREAK}]|$)', ''), r'{GAP}', ' '))"
 _NAMES = rf"regexp_replace(coalesce(text, ''), r'(?<=[^.!?:;\"{_BREAK}]\x20)\p{{{{Lu}}}}[^{_BREAK}]*', '{NAME}')"
 _TEMPLATE = "lower(regexp_replace(regexp_replace({names}, r'(?<![^ ])[^ \\d]*+\\d[^ ]*', '{number}'), r'(?<=(?:^| ){number} )(?:{units})(?![^ ])', '{unit}'))"
+# In lower case but for capitals within a word, which are marked.
+_LITERAL = r"lower(regexp_replace({words}, r'(?<=[^ ])\p{{Lu}}', '₃$0'))"
 
 
 def _words(text: str = "coalesce(text, '')") -> str:
@@ -44,19 +48,19 @@ def _words(text: str = "coalesce(text, '')") -> str:
 
 
 def _templates(texts: DataFrame, *keep: str) -> DataFrame:
-    """Adds t, the template tokens; texts without a word go."""
+    """Adds t, the template tokens, and w, the words; both have one place a word."""
     units = "|".join(u.replace("%", "[%]") for u in UNITS)
     template = _TEMPLATE.format(names=_words(_NAMES.format()), number=NUMBER, unit=UNIT, units=units)
-    return texts.select(*keep, F.expr(template).alias("template")).where("template != ''").select(*keep, F.split("template", " ").alias("t"))
+    return texts.select(*keep, F.split(F.expr(template), " ").alias("t"), F.split(F.expr(_LITERAL.format(words=_words())), " ").alias("w"))
 
 
-def _windows(sizes: list[int]) -> str:
-    """SQL for an array of window hashes of each size; a window's place is its index there plus its size's start."""
-    whole = "transform(array(transform(sequence(0, size(t) - 4), i -> xxhash64(get(t, i), get(t, i + 1), get(t, i + 2), get(t, i + 3)))), g -> transform(sequence(0, size(t) - 8), i -> struct(xxhash64(get(g, i), get(g, i + 4)) as h, i as pos, 8 as width)))[0]"
-    none = "cast(array() as array<struct<h: bigint, pos: int, width: int>>)"
-    parts = [f"if(size(t) >= {WINDOW}, {whole}, {none})"]
-    parts += [f"if(size(t) >= {n}, transform(sequence(0, size(t) - {n}), i -> struct(xxhash64({n}, slice(t, i + 1, {n})) as h, i as pos, {n} as width)), {none})" for n in sizes if n < WINDOW]
-    return parts[0] if len(parts) == 1 else f"concat({', '.join(parts)})"
+def _windows(tokens: DataFrame, sizes: list[int], *keep: str) -> DataFrame:
+    """Adds pos and width of each window of each size, the hash `literal` of its words and the hash `typed` of its tokens; they are equal where no placeholder is."""
+    width = F.lit(sizes[0]) if len(sizes) == 1 else F.explode(F.array(*[F.lit(n) for n in sizes]))
+    held = [*dict.fromkeys([*keep, "t", "w"])]
+    placed = tokens.select(*held, width.alias("width"))
+    placed = placed.select(*held, "width", F.expr("explode(if(size(t) >= width, sequence(0, size(t) - width), cast(array() as array<int>))) as pos"))
+    return placed.select(*keep, "pos", "width", F.expr("xxhash64(slice(w, pos + 1, width)) as literal"), F.expr("xxhash64(slice(t, pos + 1, width)) as typed"))
 
 
 def _checked(df: DataFrame, rows: int) -> DataFrame:
@@ -68,17 +72,20 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_
     stage = Stage(docs.sparkSession, "decontamination")
     # Items: equal texts are searched once, as the least id.
     items = benchmark.select(benchmark[item_col].alias("item_id"), benchmark[text_col].alias("text")).groupBy("text").agg(F.min("item_id").alias("item_id"))
-    items = stage.put(_templates(items.withColumn("braw", F.split(F.expr(_words()), " ")), "item_id", "braw"), "items")
-    sizes = [r.n for r in items.where(F.size("t") < WINDOW).select(F.size("t").alias("n")).distinct().collect()]  # under WINDOW values
-    found = items.select("item_id", "t", F.explode(F.expr(_windows(sizes))).alias("w")).select("item_id", "t", "w.*").where((F.col("width") == WINDOW) | (F.size("t") == F.col("width")))
+    tokens = _templates(items.select("item_id", "text", F.split(F.expr(_words()), " ").alias("braw")), "item_id", "braw").where("braw[0] != ''")
+    items = stage.put(tokens, "items")
+    short = [r.n for r in items.where(F.size("t") < WINDOW).select(F.size("t").alias("n")).distinct().collect()]  # under WINDOW values
+    sizes = [WINDOW, *sorted(short)]
+    found = _windows(items, sizes, "item_id", "t").where((F.col("width") == WINDOW) | (F.size("t") == F.col("width")))
+    # Tokens alone say too little where most are placeholders; such windows are looked for by their words only.
     literals = F.size(F.filter(F.slice("t", F.col("pos") + 1, F.col("width")), lambda x: ~x.isin(NUMBER, NAME, UNIT)))
-    found = found.where(2 * literals >= F.col("width")).select("h", "item_id", F.col("pos").alias("bpos"), "width")
-    windows = stage.put(found, "windows")
+    hashes = F.when(2 * literals >= F.col("width"), F.array_distinct(F.array("literal", "typed"))).otherwise(F.array("literal"))
+    windows = stage.put(found.select(F.explode(hashes).alias("h"), "item_id", F.col("pos").alias("bpos"), "width"), "windows")
     n_windows = windows.count()
     texts = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).where("doc_id is not null")
     own = F.xxhash64("text").alias("own")
-    templates = _templates(texts.select("doc_id", own, "text"), "doc_id", "own")
-    probes = templates.select("doc_id", "own", F.explode(F.expr(_windows(sizes))).alias("w")).select("doc_id", "own", F.col("w.h").alias("h"), F.col("w.pos").alias("pos"))
+    probes = _windows(_templates(texts.select("doc_id", own, "text"), "doc_id", "own"), sizes, "doc_id", "own")
+    probes = probes.select("doc_id", "own", "pos", F.expr("explode(if(literal = typed, array(literal), array(literal, typed))) as h"))
     hits = probes.join(_checked(windows, n_windows), "h").groupBy("doc_id", "own", "item_id", (F.col("pos") - F.col("bpos")).alias("shift")).agg(F.collect_set(F.struct("bpos", "width")).alias("at"))  # an item's windows at most
     hits = stage.put(hits, "hits")
     ids = stage.put(hits.select("doc_id", "own").distinct(), "ids")
@@ -86,7 +93,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_
     raw = raw.dropDuplicates(["doc_id", "own"]).select("doc_id", "own", F.split(F.expr(_words()), " ").alias("draw"))
     joined = hits.join(raw, ["doc_id", "own"]).join(_checked(items, n_windows), "item_id")
     covered = joined.withColumn("covered", F.expr("array_sort(array_distinct(flatten(transform(at, x -> sequence(x.bpos, x.bpos + x.width - 1)))))"))
-    slots = covered.withColumn("slots", F.expr(f"array_distinct(transform(filter(covered, p -> get(t, p) in ('{NUMBER}', '{NAME}', '{UNIT}')), p -> struct(get(braw, p) as b, get(draw, p + shift) as d)))"))
+    slots = covered.withColumn("slots", F.expr(f"array_distinct(transform(filter(covered, p -> get(t, p) in ('{NUMBER}', '{NAME}', '{UNIT}')), p -> struct(lower(get(braw, p)) as b, lower(get(draw, p + shift)) as d)))"))
     measured = slots.select(
         "doc_id", "item_id", (F.element_at("covered", 1) + F.col("shift")).alias("start_word"), F.size("covered").alias("matched_words"), F.size("t").alias("item_words"), F.size("slots").alias("slots"),
         F.expr("size(slots) - size(array_distinct(transform(slots, x -> x.b)))").alias("conflicts"), F.expr("size(filter(slots, x -> not x.b <=> x.d))").alias("changed_slots"),
