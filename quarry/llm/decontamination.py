@@ -1,8 +1,9 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame operations only.
 
 A text's words, without punctuation at their ends, become template tokens: a word with a digit is a number, a
-known unit after a number is a unit, a word that begins with a capital within a sentence is a name, all others are
-themselves in lower case. Hashes of windows of `WINDOW` tokens are joined with those of the benchmark's
+known unit after a number is a unit, a word that begins with a capital and isn't in `COMMON` is a name, all others are
+themselves in lower case. White space and neighbours don't change a name; items are also searched with the
+capitals of their sentence beginnings as words. Hashes of windows of `WINDOW` tokens are joined with those of the benchmark's
 items, and so are hashes of the words themselves, in lower case but for capitals within a word. Windows of which
 more than half are placeholders are compared by their words alone: their copies are found, other values there aren't.
 Matches of one document and item on one diagonal are put together; where they cover enough of the item, the
@@ -18,7 +19,7 @@ Extra columns are kept by `remove` and ignored elsewhere. Whole texts are read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import GAP, Stage, base_columns
@@ -33,11 +34,29 @@ stunden tage ans jours heures horas días años""".split()
 #: Rows up to which a side is broadcast (16 bytes a row, so tens of MB); beyond it joins shuffle.
 BROADCAST_ROWS = 2_000_000
 
+#: Words that are no names where they begin with a capital: function words and the usual first words of questions.
+COMMON = """a about after all an and any are as at be because before between both but by calculate can choose compute consider
+continue could define describe determine did do does each every evaluate explain find for from give given had has have he
+her here his how i if in into is it its let list many most much my name no not of on one or our please prove she should
+show simplify since so solve some state suppose than that the their then there these they this those to under was we were
+what when where which while who whom whose why will with without would write you your
+aber alle als am an auf aus bei berechne bestimme bis das dass dem den der des die dies diese dieser ein eine einem einen einer
+er es finde für gib hat im ist jede jeder mit nach nenne nicht oder sei sie sind über um und von vor wann warum was welche
+welcher welches wenn wer wie wieviel wir wo zu zum zur
+au aux avec calcule calculez ce ces cette combien comment dans de des donne donnez du elle elles en est et il ils la le les leur
+lorsque mais ne nous on où ou par pas pour pourquoi quand que quel quelle quelles quels qui sa se ses si son sont sur trouve
+trouvez un une vous
+al calcula calcule como cómo con cuál cuáles cuando cuándo cuánta cuántas cuánto cuántos del dónde donde el ella ellos entre era es
+esta este estos halla hay las los más no para pero por porque qué quién quiénes según ser sin su sus también tiene una unos y""".split()
+
 # Each pattern can begin only where a run begins, so that a very long word takes linear time.
 _BREAK, _ENDS = r"\x20\x09-\x0D", r".,;:!?\"()\[\]"
-_CLEAN = rf"trim(BOTH ' ' FROM regexp_replace(regexp_replace({{text}}, r'(?<![{_ENDS}])[{_ENDS}]++(?=[{_BREAK}]|$)', ''), r'{GAP}', ' '))"
-_NAMES = rf"regexp_replace(coalesce(text, ''), r'(?<=[^.!?:;\"{_BREAK}]\x20)\p{{{{Lu}}}}[^{_BREAK}]*', '{NAME}')"
+_SPACED = rf"regexp_replace(coalesce(text, ''), r'{GAP}', ' ')"
+_CLEAN = rf"trim(BOTH ' ' FROM regexp_replace(regexp_replace({{text}}, r'(?<![^{_BREAK}])[{_ENDS}]++|(?<![{_ENDS}])[{_ENDS}]++(?=[{_BREAK}]|$)', ''), r'{GAP}', ' '))"
+_NAME = rf"(?=\p{{{{Lu}}}}){{before}}(?!(?:{'|'.join(sorted({w.capitalize() for w in COMMON}))})(?![^ .,;:!?\x27’]))[^ ]++"
+_NAMES = f"regexp_replace({{words}}, r'{_NAME}', '{NAME}')"
 _TEMPLATE = "lower(regexp_replace(regexp_replace({names}, r'(?<![^ ])[^ \\d]*+\\d[^ ]*', '{number}'), r'(?<=(?:^| ){number} )(?:{units})(?![^ ])', '{unit}'))"
+_ANYWHERE, _WITHIN = "(?<![^ ])", r"(?<=[^.!?:;\" ] )"
 # In lower case but for capitals within a word, which are marked.
 _LITERAL = r"lower(regexp_replace({words}, r'(?<=[^ ])\p{{Lu}}', '₃$0'))"
 
@@ -47,11 +66,16 @@ def _words(text: str = "coalesce(text, '')") -> str:
     return _CLEAN.format(text=text)
 
 
-def _templates(texts: DataFrame, *keep: str) -> DataFrame:
-    """Adds t, the template tokens, and w, the words; both have one place a word."""
+def _template(names: str) -> Column:
+    """Template tokens of a text whose names are replaced."""
     units = "|".join(u.replace("%", "[%]") for u in UNITS)
-    template = _TEMPLATE.format(names=_words(_NAMES.format()), number=NUMBER, unit=UNIT, units=units)
-    return texts.select(*keep, F.split(F.expr(template), " ").alias("t"), F.split(F.expr(_LITERAL.format(words=_words())), " ").alias("w"))
+    return F.split(F.expr(_TEMPLATE.format(names=names, number=NUMBER, unit=UNIT, units=units)), " ")
+
+
+def _templates(texts: DataFrame, *keep: str) -> DataFrame:
+    """Adds t, the template tokens, and w, the words; both have one place a word, and a token depends on its word and, for units, the word before."""
+    words = texts.select(*keep, F.expr(_words()).alias("words"))
+    return words.select(*keep, _template(_NAMES.format(words="words", before=_ANYWHERE)).alias("t"), F.split(F.expr(_LITERAL.format(words="words")), " ").alias("w"))
 
 
 def _windows(tokens: DataFrame, sizes: list[int], *keep: str) -> DataFrame:
@@ -72,15 +96,19 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_
     stage = Stage(docs.sparkSession, "decontamination")
     # Items: equal texts are searched once, as the least id.
     items = benchmark.select(benchmark[item_col].alias("item_id"), benchmark[text_col].alias("text")).groupBy("text").agg(F.min("item_id").alias("item_id"))
-    tokens = _templates(items.select("item_id", "text", F.split(F.expr(_words()), " ").alias("braw")), "item_id", "braw").where("braw[0] != ''")
+    # A document may write an item's sentences without capitals, and its first word with one.
+    low = _template(_words(_NAMES.format(words=_SPACED, before=_WITHIN)))
+    tokens = _templates(items.select("item_id", F.split(F.expr(_words()), " ").alias("braw"), low.alias("low"), "text"), "item_id", "braw", "low").where("braw[0] != ''")
     items = stage.put(tokens, "items")
     short = [r.n for r in items.where(F.size("t") < WINDOW).select(F.size("t").alias("n")).distinct().collect()]  # under WINDOW values
     sizes = [WINDOW, *sorted(short)]
-    found = _windows(items, sizes, "item_id", "t").where((F.col("width") == WINDOW) | (F.size("t") == F.col("width")))
+    first = F.when(~F.col("t")[0].isin(NUMBER, *COMMON), F.concat(F.array(F.lit(NAME)), F.expr("slice(t, 2, size(t))"))).otherwise(F.col("t"))
+    forms = items.select("item_id", "w", F.explode(F.array_distinct(F.array("t", "low", first))).alias("t"))
+    found = _windows(forms, sizes, "item_id", "t").where((F.col("width") == WINDOW) | (F.size("t") == F.col("width")))
     # Tokens alone say too little where most are placeholders; such windows are looked for by their words only.
     literals = F.size(F.filter(F.slice("t", F.col("pos") + 1, F.col("width")), lambda x: ~x.isin(NUMBER, NAME, UNIT)))
     hashes = F.when(2 * literals >= F.col("width"), F.array_distinct(F.array("literal", "typed"))).otherwise(F.array("literal"))
-    windows = stage.put(found.select(F.explode(hashes).alias("h"), "item_id", F.col("pos").alias("bpos"), "width"), "windows")
+    windows = stage.put(found.select(F.explode(hashes).alias("h"), "item_id", F.col("pos").alias("bpos"), "width").distinct(), "windows")
     n_windows = windows.count()
     texts = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).where("doc_id is not null")
     own = F.xxhash64("text").alias("own")

@@ -13,3 +13,21 @@ def test_decontamination_finds_copies_full_of_placeholders(spark):
     filler = "some clean words that nobody would ever ask"
     docs = [f"{filler} {t} {filler}" for t in items] + [f"{filler} Continue the sequence 3 5 7 9 11 13 15 {filler}", f"{filler} Add 13 kg 8 {filler}", filler]
     assert _found(spark, items, docs) == {(0, 0), (1, 1), (2, 2)}
+
+
+def test_decontamination_names_do_not_depend_on_their_place(spark):
+    items = [
+        "Tom has 12 apples. Anna has 3 pears. Ben has 7 plums. Who has most?",
+        "The bus from Springfield to Shelbyville takes Homer past Capital City every day",
+        "What is the capital city of France?",
+        "short item begins low",
+    ]
+    filler = "some clean words that nobody would ever ask"
+    docs = [
+        items[0].replace("Tom", "Leo").replace("12", "15").replace("Anna", "Mia").replace(" 3 ", " 4 ").replace("Ben", "Max").replace("7", "9"),
+        items[1].replace(" Springfield", "\nSpringfield").replace(" Shelbyville", "\nShelbyville"),
+        f"{filler} here {items[2]}",
+        f"{filler}. Short item begins low. {filler}",
+        f'{filler} "{items[2].replace("France", "Spain")}" {filler}',
+    ]
+    assert _found(spark, items, docs) == {(0, 0), (1, 1), (2, 2), (3, 3), (4, 2)}
