@@ -1,10 +1,13 @@
 """License scans by patience alignment of texts with license templates.
 
-A text that holds enough of a template's distinct words is searched around each occurrence of the
-template's word that is rarest in the text. In such a region, words that occur once in both sides are
+A text that holds enough of a template's distinct words is cut where more than `MAX_GAP` words in a row are none of the
+template's; each place of the template lies within one such region. There, words that occur once in both sides are
 anchors; the longest increasing subsequence of their places is kept, and the gaps between are aligned in
-the same way (where no word is unique, by common beginnings and ends). Coverage is the share of the template's words that align
-within gaps of at most `MAX_GAP` words; from `min_coverage` up it is a hit, with its character offsets.
+the same way (where no word is unique, by common beginnings and ends). Around a verbatim copy found so, and in regions
+without one, chains are searched: words in the template's order with at most `MAX_GAP` words between two of them,
+from left to right; a chain that is long enough grows while longer ones end within that gap, and the next begins behind
+it. Coverage is the share of the template's words in the chain; from `min_coverage` up it is a hit, with its character
+offsets.
 
 Words are runs of letters and digits, in lower case. Null and empty texts have no hit. Empty tables give no
 rows, repeated rows are each scanned, extra columns are ignored. Whole texts are read.
@@ -13,6 +16,7 @@ rows, repeated rows are each scanned, extra columns are ignored. Whole texts are
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections import deque
 
 import numpy as np
 import pyarrow as pa
@@ -103,33 +107,50 @@ def _best_run(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return best
 
 
+def _chain(words: list[int], lo: int, hi: int, at: dict[int, list[int]], needed: int) -> tuple[int, int, int] | None:
+    """Length and first and last word of the first chain of at least `needed` words."""
+    recent: deque[tuple[int, int, int, int]] = deque()  # last word, template place, length and first word of chains that can grow
+    best = None
+    for j in range(lo, hi):
+        if best and j - best[2] > MAX_GAP + 1:
+            break
+        while recent and j - recent[0][0] > MAX_GAP + 1:
+            recent.popleft()
+        new = []
+        for p in at.get(words[j], ()):
+            length, first = max(((n, s) for _, q, n, s in recent if q < p), default=(0, j))
+            new.append((j, p, length + 1, first))
+        for _, _, length, first in new:
+            if length >= needed and (best is None or length > best[0]):
+                best = length, first, j
+        recent += new
+    return best
+
+
 def hits(words: list[int], template: list[int], min_coverage: float) -> list[tuple[float, int, int]]:
     """Coverage and first and last word of each place of the template in a text."""
-    places: dict[int, list[int]] = {}
-    wanted = set(template)
-    for i, w in enumerate(words):
-        if w in wanted:
-            places.setdefault(w, []).append(i)
-    # Enough words have to match, so one of any len(template) - needed + 1 words does; the rarest such set is tried.
-    needed = int(np.ceil(min_coverage * len(template) - 1e-9))
-    by_rarity = sorted(wanted, key=lambda w: (len(places.get(w, ())), template.index(w)))
-    spare, seeds = len(template) - needed + 1, []
-    for w in by_rarity:
-        seeds += places.get(w, ())
-        spare -= template.count(w)
-        if spare <= 0:
-            break
-    out, reach, slack = [], -1, max(2, len(template) // 4)
-    for i in sorted(seeds):
-        if i <= reach:
+    at: dict[int, list[int]] = {}
+    for p, w in enumerate(template):
+        at.setdefault(w, []).append(p)
+    needed = max(1, int(np.ceil(min_coverage * len(template) - 1e-9)))
+    places = [i for i, w in enumerate(words) if w in at]
+    cuts = [0, *[k for k in range(1, len(places)) if places[k] - places[k - 1] > MAX_GAP + 1], len(places)]
+    out = []
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        if b - a < needed:
             continue
-        p = template.index(words[i])
-        lo, hi = max(reach + 1, i - p - slack), min(len(words), i - p + len(template) + slack)
+        lo, hi = places[a], places[b - 1] + 1
         run = _best_run(align(template, words[lo:hi]))
-        if len(run) >= needed:
-            out.append((len(run) / len(template), lo + run[0][1], lo + run[-1][1]))
-            reach = lo + run[-1][1]
-    return out
+        parts = [(lo, hi)]
+        if len(run) == len(template) == run[-1][1] - run[0][1] + 1:
+            x, y = lo + run[0][1], lo + run[-1][1]
+            out.append((1.0, x, y))
+            parts = [(lo, x), (y + 1, hi)]
+        for lo, hi in parts:
+            while hi - lo >= needed and (found := _chain(words, lo, hi, at, needed)):
+                out.append((found[0] / len(template), found[1], found[2]))
+                lo = found[2] + 1
+    return sorted(out, key=lambda h: h[1])
 
 
 def _words(texts: list[str]) -> list[list[int]]:
