@@ -105,7 +105,7 @@ def location_rules(spark, d):
 
 
 def names_search(spark, d):
-    """Candidates, all tiers with typos, priors, top 30."""
+    """Candidates by text (no learned ones), all tiers with typos, priors, top 30."""
     return _round(names.search(M.names(spark, d), Q.name_batch(spark, NAME_QUERIES), NOW_MS).drop("name", "path"), base=6, score=6)
 
 
