@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import io
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -29,32 +31,55 @@ def ship(spark: SparkSession) -> None:
     known = {Path(p or ".").resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p} | {Path.cwd()}
     if root in known or getattr(sc, "_quarry_shipped", False):
         return
-    with tempfile.TemporaryDirectory() as tmp:
-        path = f"{tmp}/quarry_{uuid.uuid4().hex}.zip"
-        with zipfile.ZipFile(path, "w") as z:
-            for p in (root / "quarry").rglob("*.py"):
-                z.write(p, p.relative_to(root))
-        sc.addPyFile(path)
-        sc._quarry_shipped = True
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        for p in (root / "quarry").rglob("*.py"):
+            z.write(p, p.relative_to(root))
+    # Executors fetch the file when they start, the late ones too, so it stays in the shared folder until the application ends.
+    path = f"{shared_dir(spark)}/quarry_{uuid.uuid4().hex}.zip"
+    fs, file = file_system(spark, path)
+    out = fs.create(file)
+    out.write(bytearray(packed.getvalue()))
+    out.close()
+    fs.deleteOnExit(file)
+    sc.addPyFile(path)
+    sc._quarry_shipped = True
+
+
+def file_system(spark: SparkSession, path: str):
+    """The file system of a path, and the path as it takes it."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()), found
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan's rows dealt over all cores where its files give fewer splits than there are; larger tables stay as they are."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one set here where none is set."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session gets one; a cluster has none to guess."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="quarry-"))
     return sc.getCheckpointDir().rstrip("/")
 
 
 class Stage:
-    """Tables written to the shared folder: they cut lineage, survive lost executors and are read column-wise."""
+    """Tables written to the shared folder: they cut lineage, survive lost executors and are read column-wise.
+
+    They are removed with `drop`, at the latest when the application ends: write results that have to outlive it.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
@@ -63,16 +88,18 @@ class Stage:
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.base}/{len(self.paths)}-{name}"
-        self.paths[name] = path
         df.write.option("compression", "zstd").parquet(path)
+        if not self.paths:
+            fs, base = file_system(self.spark, self.base)
+            fs.deleteOnExit(base)
+        self.paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
         """Remove tables that no later plan reads."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.paths[name])
-            path.getFileSystem(conf).delete(path, True)
+            fs, path = file_system(self.spark, self.paths[name])
+            fs.delete(path, True)
 
 
 def remainder(doc_id: Column, modulus: int) -> Column:
