@@ -1,11 +1,17 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame operations only.
 
-A text's words, without punctuation at their ends, become template tokens: a word with a digit is a number, a
-known unit after a number is a unit, a word that begins with a capital and isn't in `COMMON` is a name, all others are
-themselves in lower case. White space and neighbours don't change a name; items are also searched with the
-capitals of their sentence beginnings as words. Hashes of windows of `WINDOW` tokens are joined with those of the benchmark's
-items, and so are hashes of the words themselves, in lower case but for capitals within a word. Windows of which
-more than half are placeholders are compared by their words alone: their copies are found, other values there aren't.
+A text's words are what stands between white space and punctuation. Each is a literal, its lower case, and a template
+token: a word with a digit is a number, a known unit after a number is a unit, a word that begins with a capital and
+isn't in `COMMON` is a name, all others are their literals. Both depend on the word alone (a unit also on the word
+before), not on line breaks, spaces, quotes or sentences. A document holds a window of `WINDOW` words of an item where
+the literals are equal, or where the tokens are and half of them at least are literals; windows with more
+placeholders say too little, so that their copies are found, other values there aren't. Items are also
+searched with the capitals of their sentence beginnings as words, and with a name as their first word.
+
+Each window has an anchor, the longest three neighbouring words that are literals in it (two, or one, where there aren't
+three). Documents are joined with the benchmark's windows on the hashes of their anchors; only what stands around an
+anchor is canonicalised and compared as a whole, by the window's hashes.
+
 Matches of one document and item on one diagonal are put together; where they cover enough of the item, the
 values in the placeholders are compared: each value of the item has to stand for one value of the document, up to
 one conflict in five, as it does in a copy (equal values) and in a re-parameterised question (consistently other
@@ -14,15 +20,18 @@ values).
 Null and empty texts match nothing. Items without a word are ignored, items shorter than a window
 are looked for as a whole. Empty tables give no rows. Rows without an id can't be reported and are kept by
 `remove`. Rows that repeat an id are one document with several texts; its report is its best match.
-Extra columns are kept by `remove` and ignored elsewhere. Whole texts are read.
+Extra columns are kept by `remove` and ignored elsewhere. Whole texts are read, once for each `BROADCAST_BYTES` of
+benchmark windows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GAP, Stage, base_columns
+from .common import Stage, base_columns
 
 WINDOW, LONG_MATCH = 8, 13
 NUMBER, NAME, UNIT = "₀", "₁", "₂"
@@ -31,8 +40,6 @@ UNITS = """% percent mm cm m km in inch inches ft feet yd yards mi mile miles mg
 s sec seconds second min minutes minute h hour hours day days week weeks month months year years ms hz khz mhz ghz w kw
 mw v kv a b kb mb gb tb c f k pa bar j kj cal kcal eur usd gbp euro euros dollar dollars cent cents pound pounds jahre
 stunden tage ans jours heures horas días años""".split()
-#: Rows up to which a side is broadcast (16 bytes a row, so tens of MB); beyond it joins shuffle.
-BROADCAST_ROWS = 2_000_000
 
 #: Words that are no names where they begin with a capital: function words and the usual first words of questions.
 COMMON = """a about after all an and any are as at be because before between both but by calculate can choose compute consider
@@ -49,81 +56,109 @@ trouvez un une vous
 al calcula calcule como cómo con cuál cuáles cuando cuándo cuánta cuántas cuánto cuántos del dónde donde el ella ellos entre era es
 esta este estos halla hay las los más no para pero por porque qué quién quiénes según ser sin su sus también tiene una unos y""".split()
 
-# Each pattern can begin only where a run begins, so that a very long word takes linear time.
-_BREAK, _ENDS = r"\x20\x09-\x0D", r".,;:!?\"()\[\]"
-_SPACED = rf"regexp_replace(coalesce(text, ''), r'{GAP}', ' ')"
-_CLEAN = rf"trim(BOTH ' ' FROM regexp_replace(regexp_replace({{text}}, r'(?<![^{_BREAK}])[{_ENDS}]++|(?<![{_ENDS}])[{_ENDS}]++(?=[{_BREAK}]|$)', ''), r'{GAP}', ' '))"
-_NAME = rf"(?=\p{{{{Lu}}}}){{before}}(?!(?:{'|'.join(sorted({w.capitalize() for w in COMMON}))})(?![^ .,;:!?\x27’]))[^ ]++"
-_NAMES = f"regexp_replace({{words}}, r'{_NAME}', '{NAME}')"
-_TEMPLATE = "lower(regexp_replace(regexp_replace({names}, r'(?<![^ ])[^ \\d]*+\\d[^ ]*', '{number}'), r'(?<=(?:^| ){number} )(?:{units})(?![^ ])', '{unit}'))"
-_ANYWHERE, _WITHIN = "(?<![^ ])", r"(?<=[^.!?:;\" ] )"
-# In lower case but for capitals within a word, which are marked.
-_LITERAL = r"lower(regexp_replace({words}, r'(?<=[^ ])\p{{Lu}}', '₃$0'))"
+#: Bytes up to which a side is broadcast. Beyond it windows are joined block by block, all else is shuffled.
+BROADCAST_BYTES = 96 << 20
+_WINDOW_BYTES, _ID_BYTES = 192, 48  # of a row in a broadcast table
+
+# Anchors by kind, better ones last: the places of their words.
+_ANCHORS = ((0,), (0, 3), (0, 2), (0, 1), (0, 1, 2))
+# A dot, comma or colon before a digit belongs to a number. Quotes beyond Latin-1 would slow the pattern down.
+_SEPARATOR = r"""[\x09-\x0D\x20\xA0\xAB\xBB!-#\x27()*,.:;?\[\]`{|}](?<![.,:](?=[0-9]))[\x09-\x0D\x20\xA0\xAB\xBB!-#\x27()*,.:;?\[\]`{|}]*+"""
+_QUOTES = "“”„‘’…"
+
+
+def _raw(text: str) -> str:
+    """SQL for the words of a text; the first and the last are empty where it begins or ends with a separator."""
+    quoted = " or ".join(f"contains({text}, '{q}')" for q in _QUOTES)
+    return f"split(if({quoted}, translate({text}, '{_QUOTES}', '{' ' * len(_QUOTES)}'), coalesce({text}, '')), r'{_SEPARATOR}', -1)"
+
 
+def _one_of(words: list[str], value: str) -> str:
+    return f"{value} in ({', '.join(f"'{w}'" for w in words)})"
 
-def _words(text: str = "coalesce(text, '')") -> str:
-    """SQL for the words of a text joined by single spaces."""
-    return _CLEAN.format(text=text)
 
+def _tokens(raw: str, before: str) -> str:
+    """SQL for the template tokens of an array of words that stands after the word before."""
+    digit = r"rlike r'\p{Nd}'"
+    unit = f"{_one_of(UNITS, 'lower(x)')} and if(i > 0, get({raw}, i - 1), {before}) {digit}"
+    return f"transform({raw}, (x, i) -> case when x {digit} then '{NUMBER}' when left(x, 1) != left(lower(x), 1) and not {_one_of(COMMON, 'lower(x)')} then '{NAME}' when {unit} then '{UNIT}' else lower(x) end)"
 
-def _template(names: str) -> Column:
-    """Template tokens of a text whose names are replaced."""
-    units = "|".join(u.replace("%", "[%]") for u in UNITS)
-    return F.split(F.expr(_TEMPLATE.format(names=names, number=NUMBER, unit=UNIT, units=units)), " ")
 
+def _anchor(kind: int, words: str, at: str) -> str:
+    """SQL for the hash of the anchor of a kind that begins at a place of an array of word hashes."""
+    return f"xxhash64({kind}, {', '.join(f'get({words}, {at} + {d})' for d in _ANCHORS[kind])})"
 
-def _templates(texts: DataFrame, *keep: str) -> DataFrame:
-    """Adds t, the template tokens, and w, the words; both have one place a word, and a token depends on its word and, for units, the word before."""
-    words = texts.select(*keep, F.expr(_words()).alias("words"))
-    return words.select(*keep, _template(_NAMES.format(words="words", before=_ANYWHERE)).alias("t"), F.split(F.expr(_LITERAL.format(words="words")), " ").alias("w"))
 
+def _items(benchmark: DataFrame) -> DataFrame:
+    """item_id, braw, w (literals), t (tokens) and forms (all variants of t) of each item with a word; equal texts are searched once, as the least id."""
+    one = benchmark.groupBy("text").agg(F.min("item_id").alias("item_id"))
+    sentences = """array_join(transform(split(text, r'[.!?:;"]+[\\x09-\\x0D\\x20\\xA0]+', -1), s -> concat(lower(left(s, 1)), substr(s, 2))), ' . ')"""
+    words = one.select("item_id", *[F.expr(f"filter({_raw(c)}, x -> x != '')").alias(n) for n, c in (("braw", "text"), ("blow", f"({sentences})"))]).where("size(braw) > 0")
+    formed = words.select("item_id", "braw", F.expr("transform(braw, x -> lower(x))").alias("w"), F.expr(_tokens("braw", "''")).alias("t"), F.expr(_tokens("blow", "''")).alias("low"))
+    first = F.when(~F.col("t")[0].isin(NUMBER, *COMMON), F.concat(F.array(F.lit(NAME)), F.expr("slice(t, 2, size(t))"))).otherwise(F.col("t"))
+    return formed.select("item_id", "braw", "w", "t", F.array_distinct(F.array("t", "low", first)).alias("forms"))
+
+
+def _windows(items: DataFrame) -> DataFrame:
+    """h (of the anchor), kind, place (of the anchor in the window), item_id, bpos, width, literal and typed (hashes of the whole window) of each window of the items."""
+    width = F.least(F.size("w"), F.lit(WINDOW)).alias("width")
+    placed = items.select("item_id", "w", "forms", width).select("*", F.expr("explode(sequence(0, size(w) - width)) as bpos"))
+    cut = placed.select("item_id", "bpos", "width", F.expr("slice(w, bpos + 1, width)").alias("w"), F.expr("array_distinct(transform(forms, f -> slice(f, bpos + 1, width)))").alias("forms"))
+    placeholder = f"in ('{NUMBER}', '{NAME}', '{UNIT}')"
+    cut = cut.withColumn("forms", F.expr(f"filter(forms, f -> 2 * size(filter(f, x -> x {placeholder})) <= width)"))
+    # Without such a form the words themselves are the only form.
+    cut = cut.select("*", F.expr("explode(if(size(forms) > 0, forms, array(w)))").alias("form"), F.expr("xxhash64(transform(w, x -> xxhash64(x)))").alias("literal"), F.expr("transform(forms, f -> xxhash64(transform(f, x -> xxhash64(x))))").alias("typed"))
+    kinds = []
+    for kind, places in enumerate(_ANCHORS):
+        free = " and ".join(f"not form[j + {d}] {placeholder}" for d in places)
+        letters = " + ".join(f"length(w[j + {d}])" for d in places)
+        kinds.append(f"transform(filter(if(width > {places[-1]}, sequence(0, width - {places[-1] + 1}), cast(array() as array<int>)), j -> {free}), j -> struct({kind} as kind, {letters} as letters, -j as j))")
+    best = cut.withColumn("a", F.expr(f"array_max(concat({', '.join(kinds)}))")).withColumn("wh", F.expr("transform(w, x -> xxhash64(x))"))
+    h = f"case a.kind {' '.join(f'when {k} then {_anchor(k, "wh", "(-a.j)")}' for k in range(len(_ANCHORS)))} end"
+    return best.select(F.expr(h).alias("h"), "a.kind", (-F.col("a.j")).alias("place"), "item_id", "bpos", "width", "literal", "typed").distinct()
 
-def _windows(tokens: DataFrame, sizes: list[int], *keep: str) -> DataFrame:
-    """Adds pos and width of each window of each size, the hash `literal` of its words and the hash `typed` of its tokens; they are equal where no placeholder is."""
-    width = F.lit(sizes[0]) if len(sizes) == 1 else F.explode(F.array(*[F.lit(n) for n in sizes]))
-    held = [*dict.fromkeys([*keep, "t", "w"])]
-    placed = tokens.select(*held, width.alias("width"))
-    placed = placed.select(*held, "width", F.expr("explode(if(size(t) >= width, sequence(0, size(t) - width), cast(array() as array<int>))) as pos"))
-    return placed.select(*keep, "pos", "width", F.expr("xxhash64(slice(w, pos + 1, width)) as literal"), F.expr("xxhash64(slice(t, pos + 1, width)) as typed"))
 
+def _broadcast(df: DataFrame, bytes: int) -> DataFrame:
+    return F.broadcast(df) if bytes <= BROADCAST_BYTES else df
 
-def _checked(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of docs whose id is not among ids, a written table of one column; rows without an id stay."""
+    return docs.join(_broadcast(ids, ids.count() * _ID_BYTES), id_col, "left_anti").select(*docs.columns)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """doc_id, item_id and the extent of each consistent match of a document with an item."""
     stage = Stage(docs.sparkSession, "decontamination")
-    # Items: equal texts are searched once, as the least id.
-    items = benchmark.select(benchmark[item_col].alias("item_id"), benchmark[text_col].alias("text")).groupBy("text").agg(F.min("item_id").alias("item_id"))
-    # A document may write an item's sentences without capitals, and its first word with one.
-    low = _template(_words(_NAMES.format(words=_SPACED, before=_WITHIN)))
-    tokens = _templates(items.select("item_id", F.split(F.expr(_words()), " ").alias("braw"), low.alias("low"), "text"), "item_id", "braw", "low").where("braw[0] != ''")
-    items = stage.put(tokens, "items")
-    short = [r.n for r in items.where(F.size("t") < WINDOW).select(F.size("t").alias("n")).distinct().collect()]  # under WINDOW values
-    sizes = [WINDOW, *sorted(short)]
-    first = F.when(~F.col("t")[0].isin(NUMBER, *COMMON), F.concat(F.array(F.lit(NAME)), F.expr("slice(t, 2, size(t))"))).otherwise(F.col("t"))
-    forms = items.select("item_id", "w", F.explode(F.array_distinct(F.array("t", "low", first))).alias("t"))
-    found = _windows(forms, sizes, "item_id", "t").where((F.col("width") == WINDOW) | (F.size("t") == F.col("width")))
-    # Tokens alone say too little where most are placeholders; such windows are looked for by their words only.
-    literals = F.size(F.filter(F.slice("t", F.col("pos") + 1, F.col("width")), lambda x: ~x.isin(NUMBER, NAME, UNIT)))
-    hashes = F.when(2 * literals >= F.col("width"), F.array_distinct(F.array("literal", "typed"))).otherwise(F.array("literal"))
-    windows = stage.put(found.select(F.explode(hashes).alias("h"), "item_id", F.col("pos").alias("bpos"), "width").distinct(), "windows")
-    n_windows = windows.count()
+    items = stage.put(_items(benchmark.select(benchmark[item_col].alias("item_id"), benchmark[text_col].alias("text"))), "items")
+    windows = stage.put(_windows(items), "windows")
+    kinds = sorted(r.kind for r in windows.select("kind").distinct().collect()) or [len(_ANCHORS) - 1]  # of five
+    blocks = -(-windows.count() * _WINDOW_BYTES // BROADCAST_BYTES) or 1
+
     texts = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).where("doc_id is not null")
-    own = F.xxhash64("text").alias("own")
-    probes = _windows(_templates(texts.select("doc_id", own, "text"), "doc_id", "own"), sizes, "doc_id", "own")
-    probes = probes.select("doc_id", "own", "pos", F.expr("explode(if(literal = typed, array(literal), array(literal, typed))) as h"))
-    hits = probes.join(_checked(windows, n_windows), "h").groupBy("doc_id", "own", "item_id", (F.col("pos") - F.col("bpos")).alias("shift")).agg(F.collect_set(F.struct("bpos", "width")).alias("at"))  # an item's windows at most
-    hits = stage.put(hits, "hits")
-    ids = stage.put(hits.select("doc_id", "own").distinct(), "ids")
-    raw = texts.withColumn("own", F.xxhash64("text")).join(_checked(ids, ids.count()), ["doc_id", "own"], "left_semi")
-    raw = raw.dropDuplicates(["doc_id", "own"]).select("doc_id", "own", F.split(F.expr(_words()), " ").alias("draw"))
-    joined = hits.join(raw, ["doc_id", "own"]).join(_checked(items, n_windows), "item_id")
-    covered = joined.withColumn("covered", F.expr("array_sort(array_distinct(flatten(transform(at, x -> sequence(x.bpos, x.bpos + x.width - 1)))))"))
-    slots = covered.withColumn("slots", F.expr(f"array_distinct(transform(filter(covered, p -> get(t, p) in ('{NUMBER}', '{NAME}', '{UNIT}')), p -> struct(lower(get(braw, p)) as b, lower(get(draw, p + shift)) as d)))"))
+    words = texts.select("doc_id", F.xxhash64("text").alias("own"), F.expr(_raw("text")).alias("raw"))
+    hashed = words.select("doc_id", "own", "raw", F.expr("transform(raw, x -> xxhash64(lower(x)))").alias("wh"))
+    every = hashed.select("*", F.expr(f"explode(sequence(0, {len(kinds)} * size(raw) - 1)) as k"))
+    placed = every.select("doc_id", "own", "raw", "wh", F.expr(f"cast(k div {len(kinds)} as int)").alias("pos"), F.expr(f"k % {len(kinds)}").alias("nth"))
+    probes = placed.select("doc_id", "own", "raw", "wh", "pos", F.expr(f"case nth {' '.join(f'when {n} then {_anchor(k, "wh", "pos")}' for n, k in enumerate(kinds))} end").alias("h"))
+
+    def met(block: int) -> DataFrame:
+        mine = [x.where(F.pmod("h", F.lit(blocks)) == block) if blocks > 1 else x for x in (probes, windows.drop("kind"))]
+        near = mine[0].join(F.broadcast(mine[1]), "h").withColumn("start", F.col("pos") - F.col("place")).where("start >= 0 and start + width <= size(raw)")
+        # Only slices leave the join, which has to stay one generated loop: a row for each place of a text would hold the text.
+        near = near.select("doc_id", "own", "item_id", "bpos", "literal", "typed", (F.col("start") - F.col("bpos")).alias("shift"), F.expr("slice(raw, start + 1, width)").alias("words"), F.expr("if(start > 0, get(raw, start - 1), '')").alias("before"), F.expr("cast(get(raw, 0) = '' as int)").alias("lead"), F.expr("xxhash64(slice(wh, start + 1, width)) as found"))
+        same = F.expr(f"found = literal or array_contains(typed, xxhash64(transform({_tokens('words', 'before')}, x -> xxhash64(x))))")
+        kept = F.when(same, F.array(F.transform("words", F.lower))).otherwise(F.array().cast("array<array<string>>"))
+        return near.select("doc_id", "own", "item_id", "shift", "bpos", "lead", F.explode(kept).alias("words"))  # a filter would be pushed into the join
+
+    hits = reduce(DataFrame.unionByName, [met(b) for b in range(blocks)])
+    grouped = hits.groupBy("doc_id", "own", "item_id", "shift").agg(F.collect_set(F.struct("bpos", "words")).alias("at"), F.max("lead").alias("lead"))  # an item's windows at most
+    item_bytes = items.agg(F.coalesce(F.sum(F.expr("aggregate(braw, 64L, (n, x) -> n + 2 * (octet_length(x) + 16))")), F.lit(0))).first()[0]
+    joined = grouped.join(_broadcast(items.select("item_id", "t", "braw"), item_bytes), "item_id")
+    covered = joined.withColumn("covered", F.expr("array_sort(array_distinct(flatten(transform(at, x -> transform(x.words, (d, j) -> struct(x.bpos + j as p, d as d))))))"))
+    slots = covered.withColumn("slots", F.expr(f"array_distinct(transform(filter(covered, c -> get(t, c.p) in ('{NUMBER}', '{NAME}', '{UNIT}')), c -> struct(lower(get(braw, c.p)) as b, c.d as d)))"))
     measured = slots.select(
-        "doc_id", "item_id", (F.element_at("covered", 1) + F.col("shift")).alias("start_word"), F.size("covered").alias("matched_words"), F.size("t").alias("item_words"), F.size("slots").alias("slots"),
+        "doc_id", "item_id", (F.col("covered")[0]["p"] + F.col("shift") - F.col("lead")).cast("int").alias("start_word"), F.size("covered").alias("matched_words"), F.size("t").alias("item_words"), F.size("slots").alias("slots"),
         F.expr("size(slots) - size(array_distinct(transform(slots, x -> x.b)))").alias("conflicts"), F.expr("size(filter(slots, x -> not x.b <=> x.d))").alias("changed_slots"),
     )
     good = measured.where(((F.col("matched_words") >= LONG_MATCH) | (2 * F.col("matched_words") >= F.col("item_words"))) & (5 * F.col("conflicts") <= F.col("slots")))
@@ -136,4 +171,4 @@ def remove(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id") -> Dat
     """The rows of docs that match no item."""
     stage = Stage(docs.sparkSession, "decontaminated")
     ids = stage.put(matches(docs, base_columns(benchmark, "item_id", "text"), id_col).select(F.col("doc_id").alias(id_col)).distinct(), "ids")
-    return docs.join(_checked(ids, ids.count()), id_col, "left_anti").select(*[docs[c] for c in docs.columns])
+    return without(docs, ids, id_col)

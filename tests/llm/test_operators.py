@@ -239,10 +239,10 @@ def test_decontamination(spark, odd, empty):
     docs = [(1, f"{filler}. {ITEMS[0][1]} {filler}"), (2, f"{filler} {other} {filler}"), (3, filler), (4, None), (5, f"{filler} short item here"), (6, ""), (7, "x short item there"), (8, f"{filler} {ITEMS[4][1].upper()}"), (9, mixed), (1, f"{filler}. {ITEMS[0][1]} {filler}")]
     frame = spark.createDataFrame([(i, t, "x", "y") for i, t in docs], "doc_id long, text string, h string, t string")
     got = {(r.doc_id, r.item_id): r for r in decontamination.matches(frame, bench).collect()}
-    assert got.keys() == {(1, 1), (2, 1), (5, 2)}
+    assert got.keys() == {(1, 1), (2, 1), (5, 2), (8, 5)}
     assert got[1, 1].changed_slots == 0 and got[2, 1].changed_slots >= 4 and got[2, 1].conflicts == 0
     kept = decontamination.remove(frame, bench)
-    assert sorted(r.doc_id for r in kept.collect()) == [3, 4, 6, 7, 8, 9] and kept.columns == frame.columns
+    assert sorted(r.doc_id for r in kept.collect()) == [3, 4, 6, 7, 9] and kept.columns == frame.columns
     assert decontamination.matches(odd, bench).count() == 0 and decontamination.remove(odd, bench).count() == odd.count()
     assert decontamination.matches(empty, bench).count() == 0 and decontamination.matches(frame, bench.where("false")).count() == 0
 
