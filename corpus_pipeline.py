@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each result as Parquet in the
 shared folder and reads it again for the next stage. All stages but the last return the columns of
-their docs. Rows that repeat a doc_id are one document to near-dedup: one of them stays.
+their docs. Rows that repeat a doc_id are one document to near-dedup: one of them stays. Decisions are made by
+doc_id, so rows without one stay in every stage but the quality rules, which judge each row by itself.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm import decontamination, near_dedup, packing, quality_classifier, quality_rules
 from quarry.llm.common import Stage, remainder, ship, table
+from quarry.llm.decontamination import without
 
 #: The score from which a document stays; the same as the classifier's query uses.
 QUALITY = 0.7
@@ -25,13 +27,7 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     scored = quality_classifier.fit_and_score(docs, table(spark, sf_dir, "labels"), "quality", learn)
     # Rejected ids are the smaller side; a document that repeats an id has one least score.
     rejected = stage.put(scored.groupBy("doc_id").agg(F.min("score").alias("score")).where(F.col("score") < QUALITY).select("doc_id"), "rejected")
-    return _without(docs, rejected)
-
-
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    n = ids.count()
-    ids = F.broadcast(ids) if n <= decontamination.BROADCAST_ROWS else ids
-    return docs.join(ids, "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, rejected)
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,14 +40,14 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     stage = Stage(spark, "deduplicated")
     found = stage.put(near_dedup.near_duplicates(docs).where(~F.col("kept")).select("doc_id"), "dropped")
-    kept = _without(docs, found)
+    kept = without(docs, found)
     repeated = stage.put(kept.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "repeated")
     n = repeated.count()
     if not n:
         return kept
     first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
     one = kept.join(repeated, "doc_id", "left_semi").withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
-    return _without(kept, repeated).unionByName(one.select(*docs.columns))
+    return without(kept, repeated).unionByName(one.select(*docs.columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
