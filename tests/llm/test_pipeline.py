@@ -42,3 +42,18 @@ def test_run_on_an_empty_table(spark, sf, tmp_path):
     for t in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{sf}/{t}.parquet").where("false").write.parquet(f"{tmp_path}/{t}.parquet")
     assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_on_odd_rows(spark, sf, odd, tmp_path):
+    """Nulls, empty and very long texts, ties, repeated rows and clashing columns: no stage crashes, each keeps all columns, rows without an id stay unless a rule rejects them."""
+    docs = odd.unionByName(odd.where("doc_id is null or doc_id = 7"))
+    for k, (name, step) in enumerate(P.STAGES):
+        given = docs
+        step(spark, docs, sf).write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        if k < len(P.STAGES) - 1:
+            assert docs.dtypes == given.dtypes, name
+            assert docs.where("doc_id is null").count() == given.where("doc_id is null").count(), name
+        if name == "near_dedup":
+            assert docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").count() == 0
+    assert docs.groupBy("doc_id").count().count() > 0
