@@ -10,6 +10,8 @@ import uuid
 import zipfile
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -110,3 +112,27 @@ def remainder(doc_id: Column, modulus: int) -> Column:
 def base_columns(docs: DataFrame, *names: str) -> DataFrame:
     """Only the columns that an operator reads, so that extra columns cannot clash with its own."""
     return docs.select(*[docs[n] for n in names])
+
+
+def near_least(rows: DataFrame, own: str, by: str, most: Column | int) -> DataFrame:
+    """The rows with the least hashes `own` of each value of `by`, a few more than `most`, decided row by row without a sort; adds `total`, the rows of that value."""
+    most = F.lit(most) if isinstance(most, int) else most
+    counted = rows.groupBy(by).agg(F.count("*").alias("total"))  # a row for each label
+    share = F.least(F.lit(1.0), (most + 6 * F.sqrt(most) + 50) / F.col("total"))
+    near = rows.join(F.broadcast(counted.withColumn("_cut", share * (1 << 30))), by)
+    return near.where(F.pmod(F.col(own), F.lit(1 << 30)) <= F.col("_cut")).drop("_cut")
+
+
+def least_hashed(rows: pa.Table, by: str, most: dict, budget: int) -> pa.Table:
+    """Of rows (own, n and `by`) those of least hash: at most so many of each value; rows whose n bytes don't fit into what is left of its share of the budget are passed over, but for the first of a value."""
+    own, n = np.asarray(rows.column("own")) % (1 << 30), np.asarray(rows.column("n"))
+    values = np.asarray(rows.column(by).to_pylist(), dtype=object)
+    kept: list[int] = []
+    for value in most:
+        left, count = budget * most[value] / sum(most.values()), 0
+        mine = np.flatnonzero(values == value)
+        for k in mine[np.lexsort((np.asarray(rows.column("own"))[mine], own[mine]))]:
+            if count < most[value] and n[k] <= (left if count else budget):
+                kept.append(int(k))
+                left, count = left - n[k], count + 1
+    return rows.take(pa.array(sorted(kept), pa.int64()))
