@@ -1,28 +1,32 @@
 """Toxic spans and documents by a linear-chain conditional random field.
 
 Labels are of documents, so tokens are labelled first: a word or word beginning is a toxic key if
-its documents are toxic far more often than chance allows, and a token with a key in a toxic document
-is toxic. The field has two tags; a token's emission is a sum of hashed weights of its word
-and of its first 4, 5 and 6 bytes. It is trained by gradient ascent on a bounded number
-of segments around toxic tokens and of clean documents. Forward-backward runs exactly over whole texts: blocks of tokens are
-multiplied out side by side, then chained. A document's score is the noisy-or of its marginals from
-0.1 up; tokens with marginals from 0.5 up are its offending spans, as character offsets.
+its documents, or those in which two different words have it, are toxic far more often than chance allows, and a token
+with a key in a toxic document is toxic. The field has two tags; a token's emission is a sum of hashed weights of its word
+and of its first 4, 5 and 6 bytes. It is trained by gradient ascent on a bounded number of segments around tokens with keys,
+in toxic and in clean documents, and at random places of clean documents. Forward-backward runs exactly over whole texts:
+blocks of tokens are multiplied out side by side, then chained. A document's evidence is the sum of -log(1 - marginal) over
+its marginals from 0.1 up (a long clean text has many tiny ones); its score is the isotonic fit of the labels on the evidence, which two
+fields trained on one half of the sample each give for the other. Tokens with marginals from 0.5 up are its offending
+spans, as character offsets.
 
 Tokens are runs of letters (A-Z lowered, and all characters beyond ASCII). Null texts and texts
-without tokens score 0. Rows with another label than 0 or 1 teach nothing; of several labels of a
-document the largest counts. Without toxic examples every score is 0. Empty tables give no rows, repeated rows
-are each scored, extra columns are ignored.
+without tokens have no evidence; their score is that of other texts without. Rows with another label than 0 or 1 teach nothing;
+of several labels of a document the largest counts. Without toxic examples every score is 0. Empty tables give no rows,
+repeated rows are each scored (and teach once), extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import least_hashed, near_least
+from .quality_classifier import pool_adjacent_violators
 from .words import groups, mix, run_hashes, spans, text_buffers
 
 _GAP = np.ones(256, dtype=bool)
@@ -50,6 +54,11 @@ class Field:
     weights: np.ndarray
     bias: float
     steps: np.ndarray  # log weight of a tag after another
+    edges: np.ndarray = field(default_factory=lambda: np.zeros(1))  # evidence, and the score there
+    levels: np.ndarray = field(default_factory=lambda: np.zeros(1))
+
+    def score(self, evidence: np.ndarray) -> np.ndarray:
+        return np.interp(evidence, self.edges, self.levels)
 
     def emissions(self, slots: np.ndarray) -> np.ndarray:
         """Log weight of the toxic tag for each row of feature slots; the clean tag has 0."""
@@ -111,61 +120,65 @@ class Field:
         return marginals
 
 
-def _keys_of_toxicity(keys: np.ndarray, first: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Feature hashes whose documents are toxic more often than chance allows, given how many features there are.
-
-    Documents with the same least hash of four neighbouring tokens count as one, so that copies of a document don't add up.
-    """
-    held = np.flatnonzero(np.diff(first) > 0)
+def _single(keys: np.ndarray, first: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Documents with tokens, of those with the same least hash of four neighbouring tokens only one, so that copies don't add up."""
     runs = keys[:, 0].copy()
     for k in range(1, 4):
         runs[:-k] = mix(runs[:-k] + keys[k:, 0])
-    least = np.zeros(len(y), dtype=np.uint64)
+    size = np.diff(first)
     inside = np.ones(len(runs), dtype=bool)
     for k in range(1, 4):
-        last = first[1:][np.diff(first) > k] - k
-        inside[last] = False
-    least[held] = np.minimum.reduceat(np.where(inside, runs, np.uint64(2**64 - 1)), first[held])
-    least[held] = np.where(np.diff(first)[held] > 3, least[held], keys[first[held], 0])
-    _, chosen = np.unique(np.stack([least, y.astype(np.uint64)], 1)[held], axis=0, return_index=True)
-    single = np.zeros(len(y), dtype=bool)
-    single[held[chosen]] = True
-    doc = np.repeat(np.arange(len(y)), np.diff(first))
-    keys, doc, y = keys[single[doc]], doc[single[doc]], np.where(single, y, np.nan)
-    found = np.unique(np.stack([keys.reshape(-1), np.repeat(doc, keys.shape[1]).astype(np.uint64)], 1), axis=0)
-    feature, at = np.unique(found[:, 0], return_inverse=True)
-    n1 = np.bincount(at, weights=y[found[:, 1].astype(int)], minlength=len(feature))
-    n = np.bincount(at, minlength=len(feature))
-    n1_all, n0_all = np.nansum(y), np.nansum(1 - y)
-    p, n0 = n1_all / (n1_all + n0_all), n - n1
-    with np.errstate(divide="ignore", invalid="ignore"):
-        evidence = np.where(n1 > 0, n1 * np.log(n1 / n / p), 0) + np.where(n0 > 0, n0 * np.log(n0 / n / (1 - p)), 0)
-    often = n1 / max(1, n1_all) >= 20 * (n0 + 0.05) / max(1, n0_all)
-    return feature[often & (evidence > np.log(max(2, (n >= 4).sum())) + 2)]
-
-
-def train(texts: pa.Array, y: np.ndarray, segments: int = 6000, rounds: int = 60, rate: float = 0.5, l2: float = 1e-6, length: int = 24, seed: int = 5) -> Field:
-    """A field from whole texts and their document labels."""
-    data, offsets = text_buffers(texts)
-    parts, n = [], 0
-    for lo, hi in groups(offsets):
-        _, _, first, keys = tokens(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1])
-        parts.append((first[:-1] + n, keys))
-        n += len(keys)
-    none = Field(np.zeros(1 << _BITS), -30.0, np.zeros((2, 2)))
-    if not n or not 0 < y.sum():
-        return none
-    first, keys = np.concatenate([*[p[0] for p in parts], [n]]), np.concatenate([p[1] for p in parts])
-    toxic_keys = _keys_of_toxicity(keys, first, y.astype(float))
+        inside[first[1:][size > k] - k] = False
+    held = np.flatnonzero(size > 0)
+    least = np.minimum.reduceat(np.where(inside, runs, np.uint64(2**64 - 1)), first[held])
+    least = np.where(size[held] > 3, least, keys[first[held], 0])
+    _, chosen = np.unique(np.stack([least, y[held].astype(np.uint64)], 1), axis=0, return_index=True)
+    return held[np.sort(chosen)]
+
+
+def _keys_of_toxicity(keys: np.ndarray, first: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Feature hashes whose documents are toxic more often than chance allows, given how many features there are.
+
+    A feature is tested by the documents that have it, and by those in which two different words have it.
+    """
+    chosen = _single(keys, first, y)
+    toxic, clean = max(1, int(y[chosen].sum())), max(1, int((1 - y[chosen]).sum()))
+    p, out = toxic / (toxic + clean), []
+    seen: list[list[np.ndarray]] = [[], []]  # features of each document, in one word and in two
+    for d in chosen:
+        words = keys[first[d] : first[d + 1]]
+        words = words[np.unique(words[:, 0], return_index=True)[1]]
+        found, n = np.unique(words, return_counts=True)
+        seen[0].append(found)
+        seen[1].append(found[n > 1])
+    for k, often in enumerate(seen):
+        feature, at = np.unique(np.concatenate(often), return_inverse=True)
+        n1 = np.bincount(at, weights=np.repeat(y[chosen], [len(x) for x in often]), minlength=len(feature))
+        n = np.bincount(at, minlength=len(feature))
+        n0 = n - n1
+        with np.errstate(divide="ignore", invalid="ignore"):
+            evidence = np.where(n1 > 0, n1 * np.log(n1 / np.maximum(n, 1) / p), 0) + np.where(n0 > 0, n0 * np.log(n0 / np.maximum(n, 1) / (1 - p)), 0)
+        rate = n1 / toxic >= 20 * (n0 + 0.05) / clean
+        tested = np.cumsum(np.bincount(n, minlength=1)[::-1])[::-1]  # features of at least so many documents
+        out.append(feature[rate & (evidence > np.log(np.maximum(2, tested[np.maximum(n, 4)] if len(tested) > 4 else tested[n])) + (1 if k else 2))] if len(feature) else feature)
+    return np.unique(np.concatenate(out))
+
+
+def _field(keys: np.ndarray, first: np.ndarray, y: np.ndarray, segments: int, rounds: int, rate: float, l2: float, length: int, seed: int) -> Field | None:
+    toxic_keys = _keys_of_toxicity(keys, first, y) if len(keys) and 0 < y.sum() else []
     if not len(toxic_keys):
-        return none
+        return None
     doc = np.repeat(np.arange(len(y)), np.diff(first))
-    tag = np.isin(keys, toxic_keys).any(1) & (y[doc] == 1)
+    keyed = np.zeros(len(keys), dtype=bool)
+    for column in keys.T:
+        keyed |= np.isin(column, toxic_keys)
+    tag = keyed & (y[doc] == 1)
     rng = np.random.default_rng(seed)
     clean = np.flatnonzero((y == 0) & (np.diff(first) > 0))
-    begin = np.concatenate([np.maximum(np.flatnonzero(tag) - rng.integers(0, length, int(tag.sum())), first[:-1][doc[tag]]), *[first[clean] + rng.integers(0, np.diff(first)[clean]) for _ in range(4)]])
+    around = np.flatnonzero(keyed)
+    begin = np.concatenate([np.maximum(around - rng.integers(0, length, len(around)), first[:-1][doc[around]]), *[first[clean] + rng.integers(0, np.diff(first)[clean]) for _ in range(4)]])
+    stop = np.minimum(begin + length, np.concatenate([first[1:][doc[around]], *[first[1:][clean]] * 4]))
     mixed = rng.permutation(len(begin))[:segments]
-    stop = np.minimum(begin + length, np.concatenate([first[1:][doc[tag]], *[first[1:][clean]] * 4]))
     begin, stop = begin[mixed], stop[mixed]
     at = begin[:, None] + np.arange(length)
     real = at < stop[:, None]
@@ -207,21 +220,62 @@ def train(texts: pa.Array, y: np.ndarray, segments: int = 6000, rounds: int = 60
     return field
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column, toxic_docs: int = 1500, clean_docs: int = 3000) -> Field:
-    """Learn from a sample of labelled rows for which `learn` (over doc_id) holds: those of least hash, at most so many of each label, of up to 20,000 bytes."""
-    y = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & learn).groupBy(F.col("doc_id").alias("id")).agg(F.max(label).alias("y"))
-    sized = docs.select(F.col("doc_id").alias("id"), F.octet_length("text").alias("n")).where(F.col("n").between(1, 20_000)).select("id").join(y, "id")
-    order = Window.partitionBy("y").orderBy(F.xxhash64("id"), "id")
-    chosen = sized.withColumn("k", F.row_number().over(order)).where(F.col("k") <= F.when(F.col("y") == 1, toxic_docs).otherwise(clean_docs)).select("id", "y").distinct()
-    sample = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(chosen), "id").select("id", "text", "y").toArrow()  # bounded: toxic_docs + clean_docs rows
-    sample = sample.sort_by([("id", "ascending"), ("text", "ascending")])
-    return train(sample.column("text").combine_chunks() if len(sample) else pa.array([], pa.string()), np.asarray(sample.column("y"), dtype=int))
+def _evidence_of(m: np.ndarray, first: np.ndarray) -> np.ndarray:
+    total = np.concatenate([[0], np.cumsum(np.where(m >= 0.1, -np.log1p(-np.minimum(m, 1 - 1e-4)), 0))])
+    return total[first[1:]] - total[first[:-1]]
+
+
+def train(texts: pa.Array, y: np.ndarray, weight: np.ndarray | None = None, segments: int = 6000, rounds: int = 60, rate: float = 0.5, l2: float = 1e-6, length: int = 24, seed: int = 5) -> Field:
+    """A field from whole texts and their document labels; weight is how many documents each stands for."""
+    data, offsets = text_buffers(texts)
+    parts, n = [], 0
+    for lo, hi in groups(offsets):
+        _, _, first, keys = tokens(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1])
+        parts.append((first[:-1] + n, keys))
+        n += len(keys)
+    y = np.asarray(y, dtype=float)
+    first, keys = (np.concatenate([*[p[0] for p in parts], [n]]), np.concatenate([p[1] for p in parts])) if parts else (np.zeros(1, int), np.zeros((0, 1 + len(_PREFIXES)), np.uint64))
+    del parts
+    options = (segments, rounds, rate, l2, length, seed)
+    whole = _field(keys, first, y, *options)
+    if whole is None:
+        return Field(np.zeros(1 << _BITS), -30.0, np.zeros((2, 2)))
+    half, evidence = np.arange(len(y)) % 2, np.zeros(len(y))
+    for k in (0, 1):
+        mine, other = np.flatnonzero(half == k), np.flatnonzero(half != k)
+        cut = lambda docs: (np.concatenate([keys[first[d] : first[d + 1]] for d in docs]), np.concatenate([[0], np.cumsum(np.diff(first)[docs])]))
+        if len(mine) and len(other) and (fitted := _field(*cut(other), y[other], *options)):
+            k, f = cut(mine)
+            evidence[mine] = _evidence_of(fitted.marginals(fitted.emissions(_slots(k)), f), f)
+    whole.edges, whole.levels = _calibrated(evidence, y, np.ones(len(y)) if weight is None else weight)
+    return whole
+
 
+def _calibrated(evidence: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Evidence and score of the isotonic fit; the largest evidence also stands for one clean document that wasn't sampled."""
+    values, at = np.unique(np.append(evidence, evidence.max()), return_inverse=True)
+    w = np.bincount(at, weights=np.append(weight, weight.min() / 4))
+    rate = np.bincount(at, weights=np.append(y * weight, 0)) / w
+    return values, pool_adjacent_violators(rate, w)
 
-def _noisy_or(m: np.ndarray, first: np.ndarray) -> np.ndarray:
-    log = np.where(m >= 0.1, np.log1p(-np.minimum(m, 1 - 1e-12)), 0)
-    total = np.concatenate([[0], np.cumsum(log)])
-    return np.clip(1 - np.exp(total[first[1:]] - total[first[:-1]]), 0, 1)
+
+def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column, toxic_docs: int = 1500, clean_docs: int = 3000, sample_mb: int = 24) -> Field:
+    """Learn from a sample of labelled rows for which `learn` (over doc_id) holds: those of least hash, at most so many of each label and so many bytes of text together."""
+    y = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & learn).groupBy(F.col("doc_id").alias("id")).agg(F.max(label).cast("int").alias("y"))
+    texts = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").alias("id"), F.xxhash64("doc_id", "text").alias("own"), F.octet_length("text").alias("n"))
+    known = texts.join(y, "id").select("id", "own", "n", "y")
+    most, spark = {0: clean_docs, 1: toxic_docs}, docs.sparkSession
+    near = near_least(known, "own", "y", F.when(F.col("y") == 1, toxic_docs).otherwise(clean_docs)).distinct().toArrow()
+    total = dict(zip(near.column("y").to_pylist(), near.column("total").to_pylist()))
+    chosen = least_hashed(near, "y", most, sample_mb << 20)
+    frame = spark.createDataFrame(chosen.select(["id", "own", "y"])) if len(chosen) else spark.createDataFrame([], "id long, own long, y int")
+    # Broadcast: toxic_docs + clean_docs rows at most.
+    sample = docs.select(F.col("doc_id").alias("id"), "text", F.xxhash64("doc_id", "text").alias("own")).join(F.broadcast(frame), ["id", "own"]).select("id", "text", "y").distinct().toArrow()
+    sample = sample.sort_by([("id", "ascending"), ("text", "ascending")])
+    labels_of = np.asarray(sample.column("y"), dtype=int)
+    taken = np.bincount(labels_of, minlength=2)
+    weight = np.array([total.get(k, 0) / max(1, taken[k]) for k in (0, 1)])[labels_of]
+    return train(sample.column("text").combine_chunks() if len(sample) else pa.array([], pa.string()), labels_of, weight)
 
 
 def tag(docs: DataFrame, field: Field, held_out: Column) -> DataFrame:
@@ -236,7 +290,7 @@ def tag(docs: DataFrame, field: Field, held_out: Column) -> DataFrame:
                 part, own = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
                 starts, ends, first, keys = tokens(part, own)
                 m = shared.value.marginals(shared.value.emissions(_slots(keys)), first)
-                scores[lo:hi] = _noisy_or(m, first)
+                scores[lo:hi] = shared.value.score(_evidence_of(m, first))
                 for t in np.flatnonzero(m >= 0.5):
                     k = int(np.searchsorted(own, starts[t], side="right")) - 1
                     lead = len(part[own[k] : starts[t]].tobytes().decode(errors="ignore"))
