@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import cache
 from itertools import groupby
 
 import pandas as pd
@@ -10,22 +11,50 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Latin letters with one diacritic and what they fold to.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+_BLANKS = r"[\s\x1c-\x1f\x85\p{Z}]+"
+
+
+def _bare(s: str) -> str:
+    """Compatibility decomposition without marks, in lower case, with one small sigma."""
+    kept = "".join(c for c in unicodedata.normalize("NFKD", s) if unicodedata.category(c)[0] != "M")
+    return "".join(c.lower() for c in kept).replace("ς", "σ")
+
+
+@cache
+def _tables() -> tuple[str, str, dict[str, str]]:
+    """Lower-case characters that fold to one other character, what they fold to, and those that fold to several; Hangul stays composed."""
+    one, many = {}, {}
+    for code in (*range(0x80, 0xAC00), *range(0xF900, 0x10000), *range(0x1D400, 0x1D800), *range(0x1F100, 0x1F200)):
+        c = chr(code)
+        if not 0xD800 <= code < 0xE000 and c == c.lower() and unicodedata.category(c)[0] != "M" and (to := _bare(c)) != c:
+            if len(to) == 1:
+                one[c] = to
+            elif to:
+                many[c] = to
+    return "".join(one), "".join(one.values()), many
+
+
+def fold_characters(c: Column) -> Column:
+    """Characters of a search key by JVM expressions, in any script; plain ASCII only changes case."""
+    low, (one, to, many) = F.lower(c), _tables()
+    single = F.regexp_replace(F.translate(low, one, to), r"\p{M}+", "")
+    table = F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in many.items())), F.lit("\x01"), F.lit("\x02"))
+    several = F.array_join(F.transform(F.split(single, ""), lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
+    known = "[" + "".join(many) + "]"  # rare, so that most rows need no look at single characters
+    return F.when(F.length(c) == F.octet_length(c), low).when(single.rlike(known), several).otherwise(single)
 
 
 def fold_key(c: Column) -> Column:
-    """Search key by JVM expressions: lower case, Latin diacritics dropped, white space collapsed."""
-    return F.trim(F.regexp_replace(F.translate(F.lower(c), ACCENTED, PLAIN), r"\s+", " "))
+    """Search key by JVM expressions: folded characters, white space collapsed."""
+    return F.trim(F.regexp_replace(fold_characters(c), _BLANKS, " "))
 
 
 def fold_text(s: str | None) -> str | None:
-    """Search key for any script: compatibility decomposition without marks, lower case, single spaces."""
+    """The same search key of a string on the driver."""
     if s is None:
         return None
-    bare = "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c) and unicodedata.category(c)[0] != "M")
-    return " ".join("".join(c.lower() for c in bare).split())
+    composed = "".join(c if 0xAC00 <= ord(c) < 0xD7A4 else _bare(c) for c in unicodedata.normalize("NFC", s))
+    return " ".join(composed.split())
 
 
 @F.pandas_udf(T.StringType())
@@ -33,11 +62,15 @@ def fold(s: pd.Series) -> pd.Series:
     return s.map(fold_text, na_action="ignore")
 
 
+_LOWER = r"[\p{L}&&[^\p{Lu}]]"
+
+
 def code_tokens(c: Column) -> Column:
-    """Tokens of a name by JVM expressions (ASCII case rules): splits at non-alphanumerics, aB, ABc, a1 and 1a."""
-    for pattern in ("([a-z])([A-Z])", "([A-Z])([A-Z][a-z])", "([A-Za-z])([0-9])", "([0-9])([A-Za-z])"):
+    """Tokens of a name by JVM expressions: splits at what is neither letter nor number, at aB, ABc, a1 and 1a, in any script."""
+    c = F.when(F.length(c) == F.octet_length(c), c).otherwise(F.regexp_replace(F.regexp_replace(c, r"(?<=\p{L})\p{M}+", ""), r"\p{M}+", " "))
+    for pattern in (rf"({_LOWER})(\p{{Lu}})", rf"(\p{{Lu}})(\p{{Lu}}{_LOWER})", r"(\p{L})(\p{N})", r"(\p{N})(\p{L})"):
         c = F.regexp_replace(c, pattern, "$1 $2")
-    return F.filter(F.split(F.lower(F.regexp_replace(c, "[^A-Za-z0-9]+", " ")), " "), lambda x: x != "")
+    return F.filter(F.split(fold_characters(F.regexp_replace(c, r"[^\p{L}\p{N}]+", " ")), " "), lambda x: x != "")
 
 
 def _kind(c: str) -> str:
@@ -66,14 +99,15 @@ def tokens(s: pd.Series) -> pd.Series:
 
 
 def stem(name: Column) -> Column:
-    """A name without an extension of at most five letters or digits."""
-    return F.when(name.rlike(r"(?s)^.+\.[\p{L}\p{N}]{0,5}$"), F.regexp_replace(name, r"\.[\p{L}\p{N}]{0,5}$", "")).otherwise(name)
+    """A name without an extension of letters or digits of at most five bytes."""
+    short = F.octet_length(F.regexp_extract(name, r"\.([\p{L}\p{N}]{0,5})$", 1)) <= 5
+    return F.when(name.rlike(r"(?s)^.+\.[\p{L}\p{N}]{0,5}$") & short, F.regexp_replace(name, r"\.[\p{L}\p{N}]{0,5}$", "")).otherwise(name)
 
 
 def name_parts(name: Column) -> Column:
-    """Tokens of a name, the whole words they come from, and the initials of a stem of two or more words (ASCII case rules)."""
+    """Tokens of a name, the whole words they come from, and the initials of a stem of two or more words."""
     words = F.filter(F.split(fold_key(name), r"[^\p{L}\p{N}]+"), lambda x: x != "")
-    alphabetic = F.filter(code_tokens(stem(name)), lambda x: x.rlike("^[a-z]"))
+    alphabetic = F.filter(code_tokens(stem(name)), lambda x: x.rlike(r"^\p{L}"))
     initials = F.when(F.size(alphabetic) >= 2, F.array(F.array_join(F.transform(alphabetic, lambda x: F.substring(x, 1, 1)), ""))).otherwise(F.array().cast("array<string>"))
     own = code_tokens(name)
     more = F.array_except(F.array_union(words, initials), own)
@@ -138,7 +172,8 @@ def typo_distance(key: pd.Series, candidates: pd.Series, most: pd.Series) -> pd.
 
 def search_terms(text: Column) -> Column:
     """Full-text terms: folded runs of letters and digits."""
-    return F.filter(F.split(F.translate(F.lower(text), ACCENTED, PLAIN), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+    ascii_only = F.length(text) == F.octet_length(text)
+    return F.array_remove(F.when(ascii_only, F.split(F.lower(text), "[^a-z0-9]+")).otherwise(F.split(fold_characters(text), r"[^\p{L}\p{N}]+")), "")
 
 
 def estimate_tokens(text: Column) -> Column:

@@ -6,8 +6,10 @@ One ordered pass over each text, hence Python in Arrow batches; nothing is shuff
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -50,15 +52,19 @@ class Limits:
     overlap_lines: int = 2
 
 
+_COSTLY = re.compile(r"[^\W_]+|[^\w\s]|_")
 _RUN, _VISIBLE = re.compile(r"[^\W_]+"), re.compile(r"[^\w\s]|_")
 _PARAGRAPH, _SENTENCE, _LINE = re.compile(r"\n[^\S\n]*(?=\n)"), re.compile(r"[.!?…](?=\s|$)|\n"), re.compile(r"\n")
+_WORD = re.compile(r"\S+")
 _HEADING, _FENCE = re.compile(r"(#{1,6})\s+(.*?)\s*#*\s*$"), re.compile(r"\s*(```+|~~~+)")
 _CLOSER = re.compile(r"[})\]]|end\b|</|fi\b|done\b|esac\b|elif\b|else\b|except\b|finally\b|catch\b")
+_MODIFIER = r"pub(?:\([a-z]+\))?|async|export|default|public|private|protected|static|final|abstract|override|unsafe|virtual|sealed|partial|readonly|data|open|internal|local|inline|extern(?:\s+\"[^\"]*\")?|declare|const(?=\s+(?:unsafe\s+|async\s+|extern\s+)*(?:fn|enum)\b)"
 _DEFINITION = re.compile(
-    r"^\s*(?:(?:pub(?:\([a-z]+\))?|async|export|default|public|private|protected|static|final|abstract|override|unsafe|virtual|sealed|data|open|internal|local|inline|const(?=\s+fn))\s+)*"
-    r"(?:fn|def|class|struct|enum|trait|impl|mod|function|func|interface|type|object|record|namespace|module|fun|protocol|extension|sub)\b\s*(?:<[^>]*>\s*)?(?:\([^)]*\)\s*)?\*?\s*([A-Za-z_$][\w$]*(?:(?:::|\.)[\w$]+)*)"
+    rf"^\s*(?:(?:{_MODIFIER})\s+)*"
+    r"(?:fn|def|class|struct|enum|union|trait|impl|mod|macro_rules!|function|func|interface|type|object|record|namespace|module|fun|protocol|extension|sub)(?:\b|(?<=!))\s*(?:<[^>]*>\s*)?(?:\([^)]*\)\s*)?\*?\s*([A-Za-z_$][\w$]*(?:(?:::|\.)[\w$]+)*)"
 )
-_ARROW = re.compile(r"^\s*(?:export\s+)?(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=\s*(?:async\s*)?(?:\([^)]*\)|[A-Za-z_$][\w$]*)\s*=>")
+_ARROW = re.compile(r"^\s*(?:export\s+)?(?:default\s+)?(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*(?::[^=]+)?=\s*(?:async\s*)?(?:function\b|(?:\([^)]*\)|[A-Za-z_$][\w$]*)\s*(?::[^=]+)?=>)")
+_COMMENT = re.compile(r"\s*(?:#(?!\[)|//|/\*|\*|--|;|@|#\[|$)")
 _CREATE = re.compile(r"^\s*create\s+(?:or\s+replace\s+)?(?:temp(?:orary)?\s+)?(?:unique\s+)?(?:table|view|index|function|procedure|trigger|type|schema)\s+(?:if\s+not\s+exists\s+)?([\w.\"`]+)", re.I)
 
 
@@ -70,9 +76,16 @@ def count_tokens(text: str) -> int:
 class Chunker:
     def __init__(self, text: str, limits: Limits):
         self.text, self.limits = text, limits
+        found = [(m.start(), m.end()) for m in _COSTLY.finditer(text)]
+        self.starts, self.ends = [a for a, _ in found], [b for _, b in found]
+        self.before = [0, *accumulate(-(-(b - a) // 5) for a, b in found)]
 
     def size(self, a: int, b: int) -> int:
-        return count_tokens(self.text[a:b])
+        """Tokens between two characters, by sums over the whole text; a run that is cut is counted anew."""
+        i, j = bisect_left(self.starts, a), bisect_left(self.starts, b)
+        if (i and self.ends[i - 1] > a) or (j and self.ends[j - 1] > b):
+            return count_tokens(self.text[a:b])
+        return self.before[j] - self.before[i]
 
     def trimmed(self, s: Span) -> Span | None:
         body = self.text[s.start : s.end]
@@ -105,7 +118,7 @@ class Chunker:
     def words(self, s: Span) -> Iterator[Span]:
         """Runs of whole words up to the largest size; a longer word is cut between characters."""
         start = end = None
-        for m in re.compile(r"\S+").finditer(self.text, s.start, s.end):
+        for m in _WORD.finditer(self.text, s.start, s.end):
             if start is not None and self.size(start, m.end()) > self.limits.most:
                 yield replace(s, start=start, end=end)
                 start = None
@@ -217,8 +230,9 @@ class Chunker:
 
 
 def symbol_of(region: str) -> str | None:
-    """What the first lines of a region define."""
-    for line in region.splitlines()[:6]:
+    """What the first lines of a region define; comments, attributes and empty lines before it don't count."""
+    lines = [line for line in region.splitlines() if not _COMMENT.match(line)]
+    for line in lines[:6]:
         for pattern in (_DEFINITION, _ARROW, _CREATE):
             if m := pattern.match(line):
                 return m[1].strip('"`')

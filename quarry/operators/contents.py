@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as X
 
-from .names import batch
+from .names import BATCH, batch
 
 K1, B = 1.2, 0.75
 
@@ -15,30 +15,31 @@ K1, B = 1.2, 0.75
 def tokenized(chunks: DataFrame, *columns: str) -> DataFrame:
     """chunks with `tokens`, the array of full-text terms of each column, and their number."""
     columns = columns or ("text",)
-    return chunks.withColumn("tokens", F.array(*[X.search_terms(F.coalesce(F.col(c), F.lit(""))) for c in columns])).withColumn("n_tokens", F.aggregate("tokens", F.lit(0), lambda n, t: n + F.size(t)))
-
-
-def _occurrences(tokens: Column, words: Column, prefix: Column) -> Column:
-    """How often a term (a word, a prefix or a phrase) occurs in an array of tokens."""
-    first = F.get(words, F.lit(0))
-    single = F.size(F.filter(tokens, lambda t: F.when(prefix, t.startswith(first)).otherwise(t == first)))
-    phrase = F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.size(tokens), F.lit(1))), lambda i: F.slice(tokens, i, F.size(words)) == words))
-    return F.when(F.size(words) == 1, single).otherwise(phrase)
+    terms = chunks.withColumn("tokens", F.array(*[X.search_terms(F.coalesce(F.col(c), F.lit(""))) for c in columns]))
+    return terms.withColumn("n_tokens", sum((F.size(F.get("tokens", F.lit(k))) for k in range(1, len(columns))), F.size(F.get("tokens", F.lit(0)))))
 
 
 def postings(docs: DataFrame, terms: DataFrame, weights: tuple[float, ...] = (1.0,)) -> DataFrame:
-    """chunk_id, query_id, term, n_terms, tf, n_tokens of rows that hold a term.
+    """chunk_id, query_id, term, n_terms, tf, n_tokens of rows that hold a term: a word, a prefix of three characters up, or a phrase.
 
-    A row's distinct tokens (and their three-character beginnings, for prefixes) meet the batch's
-    terms in an equi-join on a term's first word; phrases are then counted in place.
+    Every token meets the batch's terms once, by its term's first word or by the first three characters of a prefix; only
+    tokens that meet one leave the join, and are counted before the shuffle.
     """
-    keys = F.array_distinct(F.flatten("tokens"))
-    probes = docs.select("chunk_id", F.explode(F.array_union(keys, F.transform(F.filter(keys, lambda t: F.length(t) >= 3), lambda t: F.concat(F.substring(t, 1, 3), F.lit("*"))))).alias("probe"))
-    wanted = terms.withColumn("probe", F.when(F.col("prefix"), F.concat(F.substring(F.get("words", F.lit(0)), 1, 3), F.lit("*"))).otherwise(F.get("words", F.lit(0))))
-    met = probes.join(batch(wanted.select("query_id", "term", "probe")), "probe").select("chunk_id", "query_id", "term")
-    held = met.join(docs, "chunk_id").join(batch(terms), ["query_id", "term"])
-    tf = sum((F.lit(w) * _occurrences(F.get("tokens", F.lit(k)), F.col("words"), F.col("prefix")) for k, w in enumerate(weights)), F.lit(0.0))
-    return held.select("chunk_id", "query_id", "term", "n_terms", tf.alias("tf"), "n_tokens").where("tf > 0")
+    first = F.get("words", F.lit(0))
+    asked = batch(terms.withColumn("probe", F.when(F.col("prefix"), F.concat(F.substring(first, 1, 3), F.lit("*"))).otherwise(first)))
+    any_prefix = terms.where("prefix").limit(1).count() > 0  # of the batch
+    out = None
+    for k, weight in enumerate(weights):
+        words = docs.select("chunk_id", "n_tokens", F.get("tokens", F.lit(k)).alias("own"))
+        if any_prefix:
+            placed = words.select("chunk_id", "n_tokens", "own", F.explode(F.expr("sequence(0, 2 * greatest(size(own), 1) - 1)")).alias("at"))
+            placed = placed.select("chunk_id", "n_tokens", "own", F.expr("cast(at div 2 as int)").alias("pos"), F.expr("if(at % 2 = 0, get(own, cast(at div 2 as int)), concat(substring(get(own, cast(at div 2 as int)), 1, 3), '*'))").alias("probe"))
+        else:
+            placed = words.select("chunk_id", "n_tokens", "own", F.posexplode("own").alias("pos", "probe"))
+        held = F.expr("case when prefix then startswith(get(own, pos), get(words, 0)) when size(words) = 1 then true else slice(own, pos + 1, size(words)) = words end")
+        met = placed.join(asked, "probe").where(held).select("chunk_id", "n_tokens", "query_id", "term", "n_terms", F.lit(float(weight)).alias("w"))
+        out = met if out is None else out.unionByName(met)
+    return out.groupBy("chunk_id", "n_tokens", "query_id", "term", "n_terms").agg(F.sum("w").alias("tf")).where("tf > 0")
 
 
 def bm25(docs: DataFrame, terms: DataFrame, weights: tuple[float, ...] = (1.0,), pairs: bool = False, allowed: DataFrame | None = None) -> DataFrame:
@@ -50,7 +51,9 @@ def bm25(docs: DataFrame, terms: DataFrame, weights: tuple[float, ...] = (1.0,),
     stats = docs.agg(F.count("*").alias("rows"), F.avg("n_tokens").alias("mean"))
     found = postings(docs, terms, weights)
     per_term = found.groupBy("query_id", "term").agg(F.count("*").alias("n"))
-    weighed = found.join(batch(per_term), ["query_id", "term"]).join(F.broadcast(stats))  # stats is one row
+    # per_term has a row for each term of the batch, stats one row.
+    small = F.broadcast if terms.count() <= BATCH else (lambda x: x)
+    weighed = found.join(small(per_term), ["query_id", "term"]).join(F.broadcast(stats))
     idf = F.ln((F.col("rows") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     norm = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n_tokens") / F.col("mean")))
     if allowed is not None:
@@ -71,7 +74,7 @@ def lane(docs: DataFrame, strict: DataFrame, pairs: DataFrame | None = None, lim
     """query_id, item_id, rank_no, confidence: one result for each item, in order of its best passage.
 
     Rows with all terms come first; where they give fewer than `limit` items, rows with any two of the pair terms
-    follow. Confidence falls with the score relative to the query's first hit of that kind.
+    follow. Of each kind the best 4 * limit passages are looked at, so that items with very many passages can leave fewer than `limit`. Confidence falls with the score relative to the query's first hit of that kind.
     """
     hits = top(bm25(docs, strict, allowed=allowed), 4 * limit).withColumn("step", F.lit(0))
     if pairs is not None:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-_A, _P = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
-
 _FILES = """files AS (
   SELECT doc_id AS id, 'file' AS kind, 'doc_' || doc_id || '.' || ext AS name,
          '/' || source || '/' || lang || '/doc_' || doc_id || '.' || ext AS path, ext AS extension, n_chars AS size,
@@ -16,7 +14,7 @@ _CHUNKS = """chunks AS (
   WHERE trim(lines[i], ' ') <> ''
 )"""
 _DOCS = f"""{_CHUNKS}, docs AS (
-  SELECT chunk_id, item_id, text, list_filter(regexp_split_to_array(translate(lower(text), '{_A}', '{_P}'), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '') AS tokens FROM chunks
+  SELECT chunk_id, item_id, text, list_filter(regexp_split_to_array(strip_accents(lower(text)), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '') AS tokens FROM chunks
 ), stats AS (SELECT count(*) AS n_rows, avg(len(tokens)) AS mean FROM docs)"""
 _USES = """uses AS (
   SELECT event_id, user_id AS item_id, epoch_us(ts) // 1000 AS used_at, 'q ' || event_type || ' ' || (event_id % 5) AS query_key,
@@ -109,7 +107,7 @@ SELECT page_id, trim(regexp_replace(lower(regexp_replace(regexp_replace(regexp_r
   CASE WHEN regexp_matches(url, '(?s)^.+\.[\p{L}\p{N}]{0,5}$') THEN regexp_replace(url, '\.[\p{L}\p{N}]{0,5}$', '') ELSE url END AS stem
 FROM pages""",
     "text_path_parts": "SELECT p_partkey AS id, 'brand ' || regexp_extract(p_brand, '[0-9]+') || ' ' || lower(p_type) AS path_parts FROM part",
-    "text_fold": rf"SELECT conv_id, turn, trim(regexp_replace(translate(lower(text), '{_A}', '{_P}'), '\s+', ' ', 'g')) AS key FROM conversations",
+    "text_fold": rf"SELECT conv_id, turn, trim(regexp_replace(strip_accents(lower(text)), '\s+', ' ', 'g')) AS key FROM conversations",
     "text_token_estimate": r"""
 SELECT doc_id, CAST(coalesce(list_sum(list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda r: (length(r) + 4) // 5)), 0)
   + length(regexp_replace(text, '[\p{L}\p{N}\s]+', '', 'g')) AS BIGINT) AS tokens FROM documents""",

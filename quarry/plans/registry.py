@@ -48,7 +48,7 @@ def text_fold(spark, d):
 
 def text_token_estimate(spark, d):
     """Model tokens without a tokenizer."""
-    return M.read(spark, d, "documents").select("doc_id", X.estimate_tokens(F.col("text")).cast("long").alias("tokens"))
+    return M.spread(M.read(spark, d, "documents").select("doc_id", "text")).select("doc_id", X.estimate_tokens(F.col("text")).cast("long").alias("tokens"))
 
 
 def text_snippets(spark, d):
@@ -457,8 +457,9 @@ def result_violations(spark, d):
 
 def chunk_documents(spark, d):
     """K1-K8: chunks of all documents by kind, with byte offsets."""
-    docs = M.read(spark, d, "documents").join(M.files(spark, d).select(F.col("id").alias("doc_id"), "extension"), "doc_id")
-    return chunking.chunk(docs.select(F.col("doc_id").alias("item_id"), F.coalesce(chunking.kind_of(F.col("extension")), F.lit("prose")).alias("kind"), "text")).drop("text")
+    docs = M.spread(M.read(spark, d, "documents").select("doc_id", "text"))
+    kind = F.coalesce(chunking.kind_of(M.extension(F.col("doc_id"))), F.lit("prose"))
+    return chunking.chunk(docs.select(F.col("doc_id").alias("item_id"), kind.alias("kind"), "text")).drop("text")
 
 
 def _hints(spark, d) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text as X
@@ -15,11 +15,20 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan's rows dealt over all cores where its files give fewer splits than there are; larger tables stay as they are."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
+def extension(doc_id: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(x) for x in ("txt", "md", "py", "csv", "pdf")]), (doc_id % 5 + 1).cast("int"))
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items of kind file: one for each document."""
     d = read(spark, sf_dir, "documents")
-    ext = F.element_at(F.array(*[F.lit(x) for x in ("txt", "md", "py", "csv", "pdf")]), (F.col("doc_id") % 5 + 1).cast("int"))
-    d = d.select(F.col("doc_id").alias("id"), "source", "lang", ext.alias("extension"), F.col("n_chars").alias("size"))
+    d = d.select(F.col("doc_id").alias("id"), "source", "lang", extension(F.col("doc_id")).alias("extension"), F.col("n_chars").alias("size"))
     d = d.withColumn("name", F.format_string("doc_%d.%s", "id", "extension"))
     return d.select(
         "id", F.lit("file").alias("kind"), "name", F.concat_ws("/", F.lit(""), "source", "lang", "name").alias("path"), "extension", "size",
@@ -39,7 +48,8 @@ def names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A chunk for each line with text of a document."""
-    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.posexplode(F.split("text", "\n")).alias("ordinal", "text"))
+    d = spread(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    d = d.select(F.col("doc_id").alias("item_id"), F.posexplode(F.split("text", "\n")).alias("ordinal", "text"))
     return d.where(F.trim("text") != "").select((F.col("item_id") * 100_000 + F.col("ordinal")).alias("chunk_id"), "item_id", "ordinal", "text")
 
 

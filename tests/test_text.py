@@ -1,3 +1,5 @@
+import unicodedata
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -61,3 +63,24 @@ def test_small_functions(spark):
     df = spark.createDataFrame([("a\r\nb\rc", ".JS", 5, None)], "t string, e string, n int, m long")
     r = df.select(X.newlines(F.col("t")).alias("t"), X.extension(F.col("e")).alias("e"), X.fingerprint(F.col("n"), F.col("m")).alias("f"), X.query_prompt(F.lit("x")).alias("q"), X.typo_budget(F.col("n")).alias("b"), X.extension(F.lit("a*b")).alias("bad")).first()
     assert (r.t, r.e, r.f, r.q, r.b, r.bad) == ("a\nb\nc", "js", "5:", "task: search result | query: x", 1, None)
+
+
+def test_fold_of_columns_equals_fold_of_strings(spark):
+    """Both sides of a search fold alike, in every script and for every character of the basic plane."""
+    words = ["Škoda", "łódź", "йод Ёлка", "ﬁnance ½ №5", "ΟΔΟΣ οδος", "İstanbul ǅ", "Ａｂｃ ⅷ", "éä", "漢字 한글", "  a b c\td "]
+    words += ["x" + "".join(chr(c) for c in range(k, k + 64) if c >= 32 and unicodedata.ucd_3_2_0.category(chr(c)) != "Cn") + "y" for k in range(0, 0xAC00, 64)]
+    df = spark.createDataFrame([(w,) for w in words], "s string").select("s", X.fold_key(F.col("s")).alias("k"), X.search_terms(F.col("s")).alias("t"))
+    rows = df.collect()
+    for r in rows[:10]:
+        assert r.k == X.fold_text(r.s), r.s
+    wrong = [hex(ord(r.s[1])) for r in rows[10:] if r.k != X.fold_text(r.s)]
+    assert not wrong  # of the characters that all Unicode versions know
+    by = {r.s: r.t for r in rows[:10]}
+    assert by["Škoda"] == ["skoda"] and by["łódź"] == ["łodz"] and by["йод Ёлка"] == ["иод", "елка"] and by["ﬁnance ½ №5"][0] == "finance"
+
+
+def test_name_tokens_in_any_script(spark):
+    names = ["ŠkodaOctavia2", "мойФайл.txt", "ÉTÉPlan", "łódźRoad", "éteNote"]
+    df = spark.createDataFrame([(n,) for n in names], "s string").select("s", X.code_tokens(F.col("s")).alias("a"))
+    for r in df.collect():
+        assert r.a == X.tokens_text(r.s), r.s
