@@ -100,15 +100,23 @@ def usage_prior(pinned: Column, frecency: Column, query_uses: Column) -> Column:
     return F.when(pinned, 0.05).otherwise(0.0) + used + picked
 
 
-def search(items: DataFrame, queries: DataFrame, now_ms: int, limit: int = 30, signals: DataFrame | None = None) -> DataFrame:
+def search(items: DataFrame, queries: DataFrame, now_ms: int, limit: int = 30, signals: DataFrame | None = None, learned: DataFrame | None = None) -> DataFrame:
     """query_id, id, rank_no, base, score, match: the best `limit` names of each query.
 
-    signals: query_id, id, pinned, frecency, query_uses; applied to the first limit * 5 by score.
+    signals: query_id, id, pinned, frecency, query_uses; applied to the first limit * 5 by score, and to learned items.
+    learned: query_id, id of items chosen for a query before; those that its text doesn't find have base 0.6. Queries with phrases have none.
     """
-    scored = base_scores(candidates(indexed(items), queries)).where(phrases_match(F.col("phrases"), F.col("name_tokens")) | (F.size("phrases") == 0))
+    known = indexed(items)
+    scored = base_scores(candidates(known, queries)).where(phrases_match(F.col("phrases"), F.col("name_tokens")) | (F.size("phrases") == 0))
+    if learned is not None:
+        chosen = learned.select("query_id", "id").distinct().join(batch(queries.where(F.size("phrases") == 0)), "query_id").join(known, "id")
+        unmatched = chosen.join(scored.select("query_id", "id"), ["query_id", "id"], "left_anti")
+        scored = scored.unionByName(unmatched.withColumns({"base": F.lit(0.6), "match": F.lit("suggestion")}))
+        scored = scored.join(learned.select("query_id", "id", F.lit(True).alias("_learned")).distinct(), ["query_id", "id"], "left")
     scored = scored.withColumn("score", F.col("base") + prior(now_ms, F.col("source"), F.col("modified"), F.col("attributes"), F.col("path")))
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), F.length("name"), "id")
     if signals is not None:
-        head = scored.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= 5 * limit).drop("_n")
+        kept = (F.col("_n") <= 5 * limit) | F.col("_learned").isNotNull() if learned is not None else F.col("_n") <= 5 * limit
+        head = scored.withColumn("_n", F.row_number().over(order)).where(kept).drop("_n")
         scored = head.join(signals, ["query_id", "id"], "left").withColumn("score", F.col("score") + usage_prior(F.coalesce("pinned", F.lit(False)), F.coalesce("frecency", F.lit(0.0)), F.coalesce("query_uses", F.lit(0))))
     return scored.withColumn("rank_no", F.row_number().over(order)).where(F.col("rank_no") <= limit).select("query_id", "id", "rank_no", "base", "score", "match", "name", "path")

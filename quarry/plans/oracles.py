@@ -100,6 +100,12 @@ _LANES = f"""{_FILES}, ranked AS (
          max(l) FILTER (n = 1) AS sl, max(r) FILTER (n = 1) AS sr FROM shown GROUP BY query_id, item_id
 ), placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY intent DESC, round(score, 12) DESC, sl, sr, item_id) AS position FROM fused)"""
 
+_IMAGES = f"""{_FILES}, img AS (
+  SELECT id, path, id % 6 < 3 AS read, id % 4 <> 3 AND id % 8 <> 1 AS unit, id % 10 <> 7 AS known, ['indexed', 'empty', 'skipped', 'failed'][id % 4 + 1] AS state,
+         id % 10 <> 7 AND id % 11 <> 0 AND id % 17 <> 0 AND id % 7 <> 6 AS fresh FROM files
+)"""
+_NAME_ITEMS_ONLY = _NAME_ITEMS[: _NAME_ITEMS.index("), asked")] + ")"
+
 SQL = {
     "text_name_tokens": r"""
 SELECT page_id, trim(regexp_replace(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(url,
@@ -252,4 +258,66 @@ WITH h AS (SELECT ts, event_type = 'error' AS lost FROM events WHERE event_type
 g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (ORDER BY ts) < INTERVAL 300 MILLISECOND THEN 0 ELSE 1 END AS new FROM h),
 s AS (SELECT *, sum(new) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS pass FROM g)
 SELECT min(ts) AS start, count(*) AS hints, bool_or(lost) AS rescan FROM s GROUP BY pass""",
+    "image_states": f"""
+WITH {_IMAGES} SELECT id, CASE WHEN id % 12 = 3 THEN 'skipped' WHEN id % 12 = 4 THEN 'failed' WHEN id % 5 = 4 THEN 'not-indexed' WHEN unit AND id % 3 = 0 THEN 'indexed' WHEN unit AND id % 3 = 1 THEN 'failed' ELSE 'pending' END AS image_state FROM img""",
+    "image_counts": f"""
+WITH {_IMAGES} SELECT count(*) FILTER (read AND unit AND id % 3 = 0) AS indexed, count(*) FILTER (read AND unit AND id % 3 = 2) AS pending, count(*) FILTER (read AND unit AND id % 3 = 1) + count(*) FILTER (id % 12 = 4) AS failed,
+  count(*) FILTER (id % 12 = 3) AS skipped FROM img""",
+    "ocr_counts": f"""
+WITH {_IMAGES} SELECT CASE WHEN fresh THEN state ELSE 'pending' END AS state, count(*) AS n FROM img WHERE read AND unit AND starts_with(path, '/src1') GROUP BY 1""",
+    "ocr_candidates": f"""
+WITH {_IMAGES} SELECT id, id * 10 AS chunk_id FROM img WHERE read AND unit AND id % 13 <> 0 AND id % 7 <> 6 AND (NOT known OR id % 11 = 0 OR id % 17 = 0 OR state = 'failed' OR (state = 'indexed' AND id % 9 = 0))""",
+    "code_candidates": f"WITH {_FILES} SELECT id, path FROM files WHERE extension = 'py' AND id % 4 <> 0 AND id % 13 <> 0 AND id % 6 <> 0 AND id % 3 <> 0",
+    "code_context": f"""
+WITH {_FILES}, kept AS (SELECT id, path, id % 6 = 4 AS stored, path = '/src1/en' OR starts_with(path, '/src1/en/') AS below FROM files)
+SELECT id, CASE WHEN stored THEN 'rust' WHEN id % 3 = 0 THEN 'python' END AS language, CASE WHEN below THEN NULL WHEN stored THEN '/new' WHEN id % 3 = 0 THEN '/r' END AS repository,
+  CASE WHEN below THEN NULL WHEN stored OR id % 3 = 0 THEN path WHEN id % 3 = 1 THEN '/old' END AS context_path FROM kept""",
+    "code_search_context": """
+SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE lower(p_name) || ' brand ' || regexp_extract(p_brand, '[0-9]+') || ' ' || lower(p_type) || ' ' || p_name || ' ' || CASE WHEN p_partkey % 2 = 0 THEN 'rust' ELSE '' END END AS context FROM part""",
+    "item_status": """
+SELECT doc_id AS id, CASE WHEN doc_id % 5 = 0 THEN 'error' WHEN doc_id % 4 IN (0, 1) THEN 'pending' ELSE 'indexed' END AS status,
+  CAST((doc_id % 2 = 0)::INT + 2 * (doc_id % 3 = 0)::INT + 4 * (doc_id % 5 = 0 AND doc_id % 7 <> 0)::INT AS INT) AS attributes FROM documents""",
+    "skip_reasons": """
+SELECT CASE WHEN doc_id % 5 = 4 THEN 'unsupported' WHEN strlen(text) > 4000 THEN 'too_large' WHEN doc_id % 9 = 0 THEN 'binary' ELSE 'read' END AS reason, count(*) AS n FROM documents GROUP BY 1""",
+    "content_same": f"""
+WITH {_CHUNKS} SELECT item_id AS id, NOT ((item_id % 10 IN (3, 4) OR item_id % 10 = 5) AND min(chunk_id) = item_id * 100000) AS same FROM chunks GROUP BY item_id""",
+    "offered_actions": """
+WITH a AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN CASE WHEN doc_id % 4 = 0 THEN ['reveal', 'pin'] ELSE ['reveal', 'open', 'copy_path', 'pin'] END
+  ELSE CASE WHEN doc_id % 4 = 0 THEN ['reveal', 'pin'] ELSE ['open', 'reveal', 'copy_path', 'pin'] END END AS l FROM documents)
+SELECT 'q' AS query_id, doc_id AS item_id, CAST(unnest(range(len(l))) AS INT) AS place, unnest(l) AS action FROM a""",
+    "user_exclusions": f"""
+WITH {_FILES} SELECT id, path FROM files WHERE starts_with(path, '/src3/de/') OR starts_with(path, '/src1/en/') OR starts_with(path, '/src2/en/') OR extension = 'csv'""",
+    "location_states": f"""
+WITH {_FILES}, r AS (SELECT * FROM (VALUES ('/src0'), ('/src1'), ('/src2'), ('/none')) AS v(path)), n AS (
+  SELECT r.path, count(f.id) AS n FROM r LEFT JOIN files f ON starts_with(f.path, r.path || '/') AND f.id % 50 = 0 AND NOT starts_with(f.path, '/src2/') GROUP BY r.path)
+SELECT path, CASE WHEN path = '/none' THEN 'not_available' WHEN n > 0 THEN 'partial' ELSE 'ok' END AS state, n AS unlisted FROM n""",
+    "index_records": """
+WITH g AS (SELECT label AS generation, count(*) AS n FROM embeddings GROUP BY label), m AS (SELECT max(generation) AS new FROM g WHERE generation % 3 <> 0 AND generation <> 0)
+SELECT generation, CASE WHEN generation = new THEN 'active' WHEN generation = 0 AND new IS NOT NULL THEN 'retired' WHEN generation = 0 THEN 'active' ELSE 'building' END AS state,
+  CASE WHEN generation = coalesce(new, 0) THEN 'g' || generation END AS file, CASE WHEN generation = coalesce(new, 0) THEN 'ready' END AS index FROM g, m""",
+    "space_keys": "SELECT vec_id AS chunk_id, 'mock@r' || label || '/pre1/search@' || label || '/d' || len(embedding) || '/l2' AS space FROM embeddings",
+    "names_learned": f"""
+WITH {_NAME_ITEMS_ONLY}, asked(query_id, key) AS (VALUES ('u1', 'red'), ('u2', 'zzz'), ('u3', 'red bolt')), judged AS (
+  SELECT query_id, id, name, path, modified, attributes, id % 100 = 7 AND query_id <> 'u3' AS learned, id % 100 = 7 AS signal, t,
+    CASE WHEN query_id = 'u3' THEN CASE WHEN name_key = key THEN 1.0::DOUBLE WHEN starts_with(name_key, key) THEN 0.80 + 0.12 * length(key) / length(name_key) WHEN contains(' ' || name_key || ' ', ' red bolt ') THEN -1 END
+      WHEN name_key = key THEN 1.0 WHEN starts_with(name_key, key) THEN 0.80 + 0.12 * length(key) / length(name_key)
+      WHEN len(list_filter(t, lambda x: starts_with(x, key))) > 0 THEN CASE WHEN starts_with(t[1], key) THEN 0.78 ELSE 0.70 END + 0.08 * length(key) / length(name_key) END AS found
+  FROM (SELECT *, string_split(name_key, ' ') AS t FROM names), asked
+), based AS (
+  SELECT *, CASE WHEN found IS NULL THEN 0.6 ELSE found END AS base, CASE WHEN found IS NULL THEN 'suggestion' WHEN found = 1.0 THEN 'exact' ELSE 'prefix' END AS match FROM judged WHERE found IS NOT NULL OR learned
+), prior AS (
+  SELECT *, base + CASE WHEN 1703456000000 - modified < 259200000 THEN 0.04 WHEN 1703456000000 - modified < 2592000000 THEN 0.02 ELSE 0 END
+    - CASE WHEN attributes & 3 <> 0 THEN 0.15 ELSE 0 END - least(greatest(length(path) - length(replace(path, '/', '')) - 4, 0) * 0.004, 0.04) AS p FROM based
+), head AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(p, 9) DESC, length(name), id) AS n FROM prior
+), scored AS (
+  SELECT *, p + CASE WHEN signal THEN CASE WHEN id % 200 = 7 THEN 0.05 ELSE 0 END + least(0.025 * ln(3), 0.08) + least(0.12 + 0.08 * ln(3), 0.35) ELSE 0 END AS s FROM head WHERE n <= 50 OR learned
+)
+SELECT query_id, id, CAST(rank_no AS INT) AS rank_no, round(base, 6) AS base, round(s, 6) AS score, match
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, length(name), id) AS rank_no FROM scored) WHERE rank_no <= 10""",
+    "embed_chunks": """
+SELECT conv_id, turn, CASE WHEN bad THEN NULL ELSE 768 END AS dims, CASE WHEN bad THEN NULL ELSE 1.0::DOUBLE END AS norm, CASE WHEN bad THEN 'empty_input' END AS error_code
+FROM (SELECT *, turn = 2 OR text IS NULL OR trim(text) = '' AS bad FROM conversations)""",
+    "item_lookup": f"""
+WITH {_FILES}, s AS (SELECT *, string_split(path, '/')[2] AS source FROM files)
+SELECT id, path, items FROM s JOIN (SELECT source, count(*) AS items FROM s GROUP BY source) USING (source) WHERE id IN (3, 30) OR path = '/src1/en/doc_0.txt' OR name = 'doc_7.csv'""",
 }

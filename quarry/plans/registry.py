@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as X
-from quarry.operators import chunking, contents, fusion, inventory, metrics, names, usage, vectors
+from quarry.functions.embedding import embed
+from quarry.operators import chunking, contents, fusion, inventory, metrics, names, states, usage, vectors
 from quarry.plans import query as Q
 from quarry.sources import model as M
 from quarry.streaming import changes
@@ -105,7 +106,7 @@ def location_rules(spark, d):
 
 
 def names_search(spark, d):
-    """Candidates by text (no learned ones), all tiers with typos, priors, top 30."""
+    """Candidates by text, all tiers with typos, priors, top 30."""
     return _round(names.search(M.names(spark, d), Q.name_batch(spark, NAME_QUERIES), NOW_MS).drop("name", "path"), base=6, score=6)
 
 
@@ -298,7 +299,7 @@ def _pass(spark, d) -> DataFrame:
 
 
 def inventory_merge(spark, d):
-    """Refreshed, moved and new items and what has to be read again."""
+    """Refreshed, moved and new items and what has to be read again."""
     return inventory.merge(_catalogue(spark, d), _pass(spark, d), 10_000_000).select("id", "path", "action", "invalid", "content_state")
 
 
@@ -330,7 +331,7 @@ def cascade_delete(spark, d):
 
 
 def scan_exclusions(spark, d):
-    """The rule that leaves out each entry, counted."""
+    """The rule that leaves out each entry, counted."""
     s = F.col("id") % 6
     f = M.files(spark, d).withColumn("folder", F.concat(F.lit("/r"), (F.col("id") % 20).cast("string"), F.element_at(F.array(*[F.lit(x) for x in ("/node_modules", "/build", "/venv", "/docs", "/Private", "/keep/target")]), (s + 1).cast("int"))))
     entries = f.select(F.concat("folder", F.lit("/"), "name").alias("path"), F.lit(False).alias("is_dir"))
@@ -350,13 +351,13 @@ def scan_roots(spark, d):
 
 
 def nearest_repository(spark, d):
-    """The nearest marked folder above each file."""
+    """The nearest marked folder above each file."""
     marked = spark.createDataFrame([("/src1",), ("/src1/en",), ("/src3/fr",)], "folder string")
     return inventory.nearest_marked(M.files(spark, d).select("id", "path"), marked).select("id", "repository")
 
 
 def content_candidates(spark, d):
-    """Files to read again."""
+    """K9: files to read again."""
     f = M.files(spark, d)
     own = X.fingerprint(F.col("size"), F.col("modified"))
     s = F.col("id") % 6
@@ -368,7 +369,7 @@ def content_candidates(spark, d):
 
 
 def content_counts(spark, d):
-    """Coverage by content state and scope."""
+    """A1, A2: coverage by content state and scope."""
     s = F.col("id") % 6
     f = M.files(spark, d).withColumn("content_state", F.when(s == 0, F.lit(None)).when(s == 1, "failed").when(s == 2, "skipped").otherwise("indexed"))
     return metrics.coverage(f, ["md", "txt"], F.col("path").startswith("/src1"))
@@ -390,7 +391,7 @@ def latency_percentiles(spark, d):
 
 
 def generation_validity(spark, d):
-    """Counts and self-recall decide whether a generation goes live."""
+    """Counts and self-recall decide whether a generation goes live."""
     v = M.vectors(spark, d)
     self_hits = vectors.top_k(v, _queries(v), 1).agg(F.avg((F.col("query_id") == F.col("chunk_id")).cast("double")).alias("r"))
     done = v.select("chunk_id", F.when(F.col("chunk_id") % 200 != 1, 1).alias("vector"), F.when(F.col("chunk_id") % 200 == 1, "failed").alias("error_code"))
@@ -426,7 +427,7 @@ def _lanes(spark, d) -> DataFrame:
 
 
 def search_fused(spark, d):
-    """Names, contents and meaning fused; the flagship."""
+    """Names, contents and meaning fused; the flagship."""
     return _round(fusion.fuse(_lanes(spark, d)), score=9, confidence=5)
 
 
@@ -444,7 +445,7 @@ def fusion_rrf(spark, d):
 
 
 def result_violations(spark, d):
-    """Results that break the contract."""
+    """Results that break the contract."""
     f = M.files(spark, d)
     i = F.col("id")
     actions = F.when(i % 9 == 0, F.array(F.lit("open"), F.lit("fly"))).when(i % 9 == 1, F.array(F.lit("open"), F.lit("open"))).otherwise(F.array(F.lit("open"), F.lit("reveal")))
@@ -484,6 +485,160 @@ def usage_stream_fold(spark, d):
     return s.select("item_id", "uses", "last_used_at", F.round(usage.frecency(F.col("rank_key"), EVENT_NOW), 6).alias("frecency"))
 
 
+# --- states -------------------------------------------------------------------------------------
+
+
+def _images(spark, d) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Items with image columns, their units, the vectors of the active generation and recognised texts, by fixed rules over ids."""
+    i = F.col("id")
+    case = lambda n, *values: F.element_at(F.array(*[F.lit(v).cast("string") for v in values]), (i % n + 1).cast("int"))
+    items = M.files(spark, d).withColumns({
+        "content_state": case(6, "indexed", "indexed", "indexed", "skipped", "failed", None), "content_error": F.when(i % 12 == 3, "image:decode").when(i % 12 == 4, "image:io").when(i % 12 == 9, "text:binary"),
+        "image_width": F.when(i % 5 != 4, 640), "image_digest": F.when(i % 7 != 6, F.concat(F.lit("d"), i.cast("string"))), "status": F.when(i % 13 == 0, "error").otherwise("indexed"),
+    })
+    chunks = items.where("id % 4 != 3").select(F.col("id").alias("item_id"), (i * 10).alias("chunk_id"), F.when(i % 8 == 1, "prose").otherwise("image").alias("kind"), F.when(i % 9 == 0, "").otherwise("seen").alias("text"))
+    vectors_ = chunks.where("item_id % 3 != 2").select("chunk_id", F.when(F.col("item_id") % 3 == 0, 1).alias("vector"), F.when(F.col("item_id") % 3 == 1, "failed").alias("error_code"))
+    o = F.col("item_id")
+    ocr = chunks.where("item_id % 10 != 7").select("item_id", F.concat(F.lit("d"), (o + F.when(o % 11 == 0, 1).otherwise(0)).cast("string")).alias("source_digest"), F.when(o % 17 == 0, 0).otherwise(states.OCR_VERSION).alias("version"), F.element_at(F.array(*[F.lit(x) for x in ("indexed", "empty", "skipped", "failed")]), (o % 4 + 1).cast("int")).alias("state"))
+    return items, chunks, vectors_, ocr
+
+
+def image_states(spark, d):
+    """The state of every item's image."""
+    items, chunks, vectors_, _ = _images(spark, d)
+    return states.image_states(items, chunks, vectors_).select("id", "image_state")
+
+
+def image_counts(spark, d):
+    """A4: image units by state."""
+    items, chunks, vectors_, _ = _images(spark, d)
+    return states.image_counts(items, chunks, vectors_)
+
+
+def ocr_counts(spark, d):
+    """Recognised texts in a scope by state; stale ones are pending."""
+    items, chunks, _, ocr = _images(spark, d)
+    return states.ocr_counts(items, chunks, ocr, F.col("path").startswith("/src1"))
+
+
+def ocr_candidates(spark, d):
+    """Images whose text is to be recognised."""
+    items, chunks, _, ocr = _images(spark, d)
+    return states.ocr_candidates(items, chunks, ocr)
+
+
+def _code_items(spark, d) -> tuple[DataFrame, DataFrame]:
+    i = F.col("id")
+    items = M.files(spark, d).withColumns({
+        "source": F.lit("files"), "status": F.when(i % 13 == 0, "error").otherwise("indexed"), "attributes": F.when(i % 6 == 0, 4).otherwise(F.col("attributes")), "language": F.when(i % 3 == 0, "python"),
+        "repository": F.when(i % 3 == 0, F.lit("/r")), "context_path": F.when(i % 3 == 0, F.col("path")).when(i % 3 == 1, F.lit("/old")),
+    })
+    return items, items.where("extension = 'py'").select(F.col("id").alias("item_id"), F.when(i % 4 == 0, "text").otherwise("code").alias("kind"))
+
+
+def code_candidates(spark, d):
+    """Code files whose stored context is not of their path."""
+    return states.code_candidates(*_code_items(spark, d)).select("id", "path")
+
+
+def code_context(spark, d):
+    """Context stored where the path is still the same, then cleared in a folder."""
+    items, _ = _code_items(spark, d)
+    found = items.where("id % 3 = 1").select("id", F.when(F.col("id") % 2 == 0, F.col("path")).otherwise(F.lit("/moved")).alias("path"), F.lit("rust").alias("language"), F.lit("/new").alias("repository"))
+    return states.without_code_context(states.with_code_context(items, found), "/src1/en").select("id", "language", "repository", "context_path")
+
+
+def code_search_context(spark, d):
+    """What is searched beside code, and its passage's place."""
+    n = M.names(spark, d)
+    kind, language = F.when(F.col("id") % 3 == 0, "text").otherwise("code"), F.when(F.col("id") % 2 == 0, "rust")
+    return n.select("id", states.search_context(kind, F.array_join(X.code_tokens(F.col("name")), " "), F.array_join(X.path_tokens(F.col("path")), " "), F.col("name"), language).alias("context"))
+
+
+def item_status(spark, d):
+    """The next status and attribute bits of entries with and without errors."""
+    f, i = M.files(spark, d), F.col("id")
+    status = states.next_status(F.when(i % 4 == 0, "error").when(i % 4 == 1, "pending").otherwise("indexed"), F.when(i % 5 == 0, "metadata"))
+    return f.select("id", status.alias("status"), states.attribute_bits(i % 2 == 0, i % 3 == 0, F.when(i % 7 != 0, i % 5 == 0)).alias("attributes"))
+
+
+def skip_reasons(spark, d):
+    """Why files aren't read, counted."""
+    docs = M.spread(M.read(spark, d, "documents").select("doc_id", "text"))
+    head = F.concat(F.when(F.col("doc_id") % 9 == 0, F.unhex(F.lit("610062"))).when(F.col("doc_id") % 9 == 1, F.unhex(F.lit("FFFE6100"))).otherwise(F.unhex(F.lit(""))), F.substring(F.col("text").cast("binary"), 1, 64))
+    reason = states.skip_reason(chunking.kind_of(M.extension(F.col("doc_id"))), F.octet_length("text"), head, 4000)
+    return docs.groupBy(F.coalesce(reason, F.lit("read")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+def content_same(spark, d):
+    """Whether stored chunks equal those read again: one changed, one more, one fewer of each ten items."""
+    c, k = M.chunks(spark, d).select("item_id", "ordinal", "text"), F.col("item_id") % 10
+    read = c.where((k != 3) | (F.col("ordinal") > 0)).withColumn("text", F.when((k == 4) & (F.col("ordinal") == 0), F.concat("text", F.lit("x"))).otherwise(F.col("text")))
+    more = c.where((k == 5) & (F.col("ordinal") == 0)).withColumn("ordinal", F.lit(1_000_000))
+    return states.content_matches(c, read.unionByName(more), "text")
+
+
+def offered_actions(spark, d):
+    """Actions by place: the primary one, then by group."""
+    i = F.col("id")
+    rows = M.files(spark, d).select(F.lit("q").alias("query_id"), i.alias("item_id"), F.when(i % 3 == 0, "reveal").otherwise("open").alias("primary"), F.array(*[F.lit(x) for x in ("pin", "copy_path", "open", "fly", "reveal")]).alias("secondary"), F.when(i % 4 == 0, F.array(F.lit("pin"), F.lit("reveal"))).otherwise(F.array(*[F.lit(x) for x in ("open", "reveal", "copy_path", "pin", "fly")])).alias("allowed"))
+    return states.offered_actions(rows)
+
+
+def user_exclusions(spark, d):
+    """what the user's rules leave out: a folder, a folder name below a location, an extension."""
+    f = M.files(spark, d)
+    return f.where(states.user_excluded(F.col("path"), F.lit(False), F.col("extension"), ["/src1", "/src2"], ["/src3/de"], ["EN"], ["csv"])).select("id", "path")
+
+
+def location_states(spark, d):
+    """what a pass found for each location."""
+    roots = spark.createDataFrame([("/src0",), ("/src1",), ("/src2",), ("/none",)], "path string")
+    issues = spark.createDataFrame([("/none", "open_root")], "path string, stage string").unionByName(M.files(spark, d).where("id % 50 = 0 and path not like '/src2/%'").select("path", F.lit("list").alias("stage")))
+    return states.location_states(roots, issues)
+
+
+def index_records(spark, d):
+    """Generations by label, the promotion of the newest that is ready, and whether the active one's index can be used."""
+    g = M.vectors(spark, d).groupBy(F.col("label").alias("generation")).agg(F.count("*").alias("rows"))
+    rows = g.withColumn("state", F.when(F.col("generation") == 0, "active").otherwise("building"))
+    now = states.promoted(rows.select("generation", "state"), rows.where("generation % 3 != 0").select("generation"))
+    records = g.select("generation", F.concat(F.lit("g"), F.col("generation").cast("string")).alias("file"), F.lit(states.index_fingerprint(64)).alias("fingerprint"), "rows", F.col("rows").alias("file_rows"))
+    index = states.usable_indexes(now, records, states.index_fingerprint(64))
+    return now.join(index, "generation", "left")
+
+
+def space_keys(spark, d):
+    """The key of an embedding space."""
+    v = M.vectors(spark, d)
+    return v.select("chunk_id", states.space_key(F.lit("mock"), F.concat(F.lit("r"), F.col("label").cast("string")), F.lit(1), F.lit("search"), F.col("label"), F.size("vector")).alias("space"))
+
+
+def names_learned(spark, d):
+    """Names with usage: learned items are candidates without a match too (base 0.6), and use raises the score."""
+    asked = {"u1": "red", "u2": "zzz", "u3": '"red bolt"'}
+    batch = Q.name_batch(spark, asked)
+    n = M.names(spark, d)
+    learned = n.where("id % 100 = 7").select("id", F.explode(F.array(*[F.lit(q) for q in asked])).alias("query_id"))
+    signals = learned.select("query_id", "id", (F.col("id") % 200 == 7).alias("pinned"), F.lit(2.0).alias("frecency"), F.lit(3).alias("query_uses"))
+    out = names.search(n, batch, NOW_MS, 10, signals, learned)
+    return _round(out.drop("name", "path"), base=6, score=6)
+
+
+def embed_chunks(spark, d):
+    """Vectors of the hashing embedder; texts it can't embed get an error of their own."""
+    c = M.read(spark, d, "conversations").select("conv_id", "turn", F.when(F.col("turn") == 2, " ").otherwise(F.col("text")).alias("text"))
+    e = c.select("conv_id", "turn", embed("text").alias("e"))
+    return e.select("conv_id", "turn", F.size("e.vector").alias("dims"), F.round(F.sqrt(vectors.dot(F.col("e.vector"), F.col("e.vector"))), 3).alias("norm"), F.col("e.error_code").alias("error_code"))
+
+
+def item_lookup(spark, d):
+    """Items by id and by path, with the number of items of their source."""
+    f = M.files(spark, d).withColumn("source", F.split("path", "/")[1])
+    hit = f.where(F.col("id").isin(3, 30) | (F.col("path") == "/src1/en/doc_0.txt") | (F.col("name") == "doc_7.csv"))
+    return hit.join(f.groupBy("source").agg(F.count("*").alias("items")), "source").select("id", "path", "items")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = {n: f for n, f in globals().items() if callable(f) and getattr(f, "__module__", "") == __name__ and not n.startswith("_") and n != "queries"}
     return {"search_fused": own.pop("search_fused")} | own
