@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import least_hashed, near_least
+from .common import Stage, least_hashed, near_least
 from .quality_classifier import pool_adjacent_violators
 from .words import groups, mix, run_hashes, spans, text_buffers
 
@@ -263,19 +263,26 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column, toxic_doc
     """Learn from a sample of labelled rows for which `learn` (over doc_id) holds: those of least hash, at most so many of each label and so many bytes of text together."""
     y = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & learn).groupBy(F.col("doc_id").alias("id")).agg(F.max(label).cast("int").alias("y"))
     texts = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").alias("id"), F.xxhash64("doc_id", "text").alias("own"), F.octet_length("text").alias("n"))
-    known = texts.join(y, "id").select("id", "own", "n", "y")
     most, spark = {0: clean_docs, 1: toxic_docs}, docs.sparkSession
-    near = near_least(known, "own", "y", F.when(F.col("y") == 1, toxic_docs).otherwise(clean_docs)).distinct().toArrow()
+    known = Stage(spark, "toxicity").put(texts.join(y, "id").groupBy("id", "own", "n", "y").agg(F.count("*").alias("copies")), "known")
+    near = near_least(known, "own", "y", F.when(F.col("y") == 1, toxic_docs).otherwise(clean_docs)).toArrow()
     total = dict(zip(near.column("y").to_pylist(), near.column("total").to_pylist()))
     chosen = least_hashed(near, "y", most, sample_mb << 20)
-    frame = spark.createDataFrame(chosen.select(["id", "own", "y"])) if len(chosen) else spark.createDataFrame([], "id long, own long, y int")
-    # Broadcast: toxic_docs + clean_docs rows at most.
-    sample = docs.select(F.col("doc_id").alias("id"), "text", F.xxhash64("doc_id", "text").alias("own")).join(F.broadcast(frame), ["id", "own"]).select("id", "text", "y").distinct().toArrow()
+    own = docs.select(F.col("doc_id").alias("id"), "text", F.xxhash64("doc_id", "text").alias("own"))
+    single = np.asarray(chosen.column("copies")) == 1
+    parts = []
+    for mine, once in ((single, lambda df: df), (~single, lambda df: df.dropDuplicates(["id", "own"]))):
+        if mine.any():  # broadcast: toxic_docs + clean_docs rows at most
+            frame = spark.createDataFrame(chosen.filter(pa.array(mine)).select(["id", "own", "y"]))
+            parts.append(once(own.join(F.broadcast(frame), ["id", "own"])).select("id", "text", "y").toArrow())
+    if not parts:
+        return train(pa.array([], pa.string()), np.zeros(0, int))
+    sample = pa.concat_tables(parts)
     sample = sample.sort_by([("id", "ascending"), ("text", "ascending")])
     labels_of = np.asarray(sample.column("y"), dtype=int)
     taken = np.bincount(labels_of, minlength=2)
     weight = np.array([total.get(k, 0) / max(1, taken[k]) for k in (0, 1)])[labels_of]
-    return train(sample.column("text").combine_chunks() if len(sample) else pa.array([], pa.string()), labels_of, weight)
+    return train(sample.column("text").combine_chunks(), labels_of, weight)
 
 
 def tag(docs: DataFrame, field: Field, held_out: Column) -> DataFrame:
