@@ -32,16 +32,14 @@ def _let(value: str, name: str, body: str) -> str:
 def repeat_words(ws: str) -> str:
     """SQL for the number of words in 3-word windows that occur twice or more.
 
-    Windows are compared by 64-bit hashes: sorted, and, where any two are equal, sorted with their
-    positions; then each repeated window adds the words that the one before it doesn't cover.
+    Windows are compared by 64-bit hashes: where any two are equal, they are sorted with their positions; then each repeated window adds the words that the one before it doesn't cover.
     """
     hashes = "if(size(w) < 3, cast(array() as array<bigint>), transform(sequence(0, size(w) - 3), i -> xxhash64(get(w, i), get(w, i + 1), get(w, i + 2))))"
     places = "array_sort(transform(filter(p, (x, k) -> x.h <=> get(p, k - 1).h or x.h <=> get(p, k + 1).h), x -> x.i))"
     covered = "aggregate(transform(q, (x, k) -> if(k + 1 < size(q), least(3, get(q, k + 1) - x), 3)), 0L, (a, x) -> a + x)"
     pairs = "array_sort(transform(h, (x, i) -> struct(x as h, i as i)))"
     exact = _let(pairs, "p", _let(places, "q", covered))
-    any_twice = _let("sort_array(h)", "s", "exists(transform(s, (x, k) -> k > 0 and x = get(s, k - 1)), b -> b)")
-    return _let(ws, "w", _let(hashes, "h", f"if({any_twice}, {exact}, 0L)"))
+    return _let(ws, "w", _let(hashes, "h", f"if(size(array_distinct(h)) < size(h), {exact}, 0L)"))
 
 
 def _count(characters: str) -> str:
