@@ -34,4 +34,25 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM f
 """
 
-SQL: dict[str, str] = {"op3_quality_rules": _OP3}
+# All pairs of documents that share a shingle, then everything reachable over links.
+_OP1 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, shingle FROM (
+    SELECT doc_id, array_to_string(ws, ' ') AS shingle FROM w WHERE len(ws) BETWEEN 1 AND 4
+    UNION ALL SELECT doc_id, array_to_string(ws[i:i + 4], ' ') FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5))
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), pairs AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 75 * (x.n + y.n - shared)
+), edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach(id, other) AS (
+  SELECT a, b FROM edges UNION SELECT id, b FROM reach JOIN edges ON other = a
+), least_ AS (SELECT id, min(other) AS other FROM reach GROUP BY id)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(doc_id, coalesce(other, doc_id)) AS component_id, coalesce(other, doc_id) >= doc_id AS kept
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN least_ ON id = doc_id
+"""
+
+SQL: dict[str, str] = {"op1_near_dedup": _OP1, "op3_quality_rules": _OP3}
