@@ -65,6 +65,21 @@ def _words(batch: dict[str, list[str]]) -> str:
 _ALL = "SELECT query_id, chunk_id, round(-s, 6) AS score FROM scored WHERE m = n_terms"
 _TOP = """, ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(-s, 9), chunk_id) AS r FROM scored WHERE m = n_terms{more})"""
 
+_LANE = (
+    "WITH strict AS ("
+    + _bm25(_words({"p1": ["thing", "stea", "tion", "eran"], "p2": ["queue", "ciones", "boar"], "p3": ["eder", "ching"]}), "SELECT query_id, chunk_id, item_id, -s AS score FROM scored WHERE m = n_terms")
+    + "), pairs AS ("
+    + _bm25(_words({"p1": ["thing", "stea", "tion", "eran"], "p2": ["queue", "ciones", "boar"]}), "SELECT query_id, chunk_id, item_id, -(m - 1) * s AS score FROM scored WHERE m >= 2")
+    + """), hits AS (
+  SELECT *, 0 AS step, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9), chunk_id) AS r FROM strict
+  UNION ALL SELECT *, 1, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9), chunk_id) FROM pairs
+), placed AS (
+  SELECT *, first_value(score) OVER (PARTITION BY query_id ORDER BY step, r) AS best, row_number() OVER (PARTITION BY query_id, item_id ORDER BY step, r) AS n FROM hits WHERE r <= 120
+), one AS (SELECT *, count(*) FILTER (step = 0) OVER (PARTITION BY query_id) AS n_strict FROM placed WHERE n = 1
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY step, r, item_id) AS rank_no FROM one WHERE step = 0 OR n_strict < 30)
+SELECT query_id, item_id, CAST(rank_no AS INT) AS rank_no, round(0.4 + 0.5 * greatest(least(score / best, 1.0), 0.0), 6) AS confidence, step FROM ranked WHERE rank_no <= 30"""
+)
+
 _SIM = "list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: a.embedding[i]::DOUBLE * b.embedding[i]::DOUBLE))"
 _PAIRS = f"""pairs AS (
   SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS similarity, a.label AS ql, b.label AS cl
@@ -160,6 +175,7 @@ SELECT query_id, id, NOT all_in_name AS by_folder FROM judged WHERE all_in_name
     "bm25_phrase": _bm25(
         "SELECT * FROM (VALUES ('f1', 0, 'phrase', 'of', 'the', 1), ('f2', 0, 'phrase', 'in', 'the', 1), ('f3', 0, 'phrase', 'license', 'version', 1)) AS v(query_id, term, kind, w1, w2, n_terms)", _ALL
     ),
+    "contents_lane": _LANE,
     "bm25_filtered": _bm25(_words({"c1": ["the", "and"]}), "SELECT query_id, chunk_id, round(-s, 6) AS score FROM ranked WHERE r <= 20", _TOP.format(more=" AND item_id % 5 = 1")),
     "vector_top_k": f"WITH {_PAIRS} SELECT query_id, chunk_id, round(similarity, 5) AS similarity, rank_no FROM ranked WHERE rank_no <= 10",
     "vector_normalize": """
