@@ -7,7 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stage, remainder, ship, table
+from .common import Stage, remainder, ship, spread, table
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole table; where it is one small file, over all cores."""
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,7 +26,7 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import language
 
     ship(spark)
-    docs = table(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir)
     held_out = remainder(F.col("doc_id"), 4) == 2
     return language.predict(docs, language.fit(docs.select("doc_id", "lang", "text"), ~held_out), held_out)
 
@@ -29,7 +34,7 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality_rules
 
-    judged = quality_rules.judge(table(spark, sf_dir, "documents"))
+    judged = quality_rules.judge(_documents(spark, sf_dir))
     return judged.drop("rejected_by")  # its value depends on measured times
 
 
@@ -37,7 +42,7 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import lm
 
     ship(spark)
-    docs, held_out, stage = table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 7) == 2, Stage(spark, "lm")
+    docs, held_out, stage = _documents(spark, sf_dir), remainder(F.col("doc_id"), 7) == 2, Stage(spark, "lm")
     model, counts = lm.fit(docs.where(~held_out), stage)
     return lm.score(docs, model, counts, held_out, stage)
 
@@ -52,21 +57,21 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import decontamination
 
-    return decontamination.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontamination.matches(_documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import licenses
 
     ship(spark)
-    return licenses.scan(table(spark, sf_dir, "documents"))
+    return licenses.scan(_documents(spark, sf_dir))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import toxicity
 
     ship(spark)
-    docs, held_out = table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 4) == 2
+    docs, held_out = _documents(spark, sf_dir), remainder(F.col("doc_id"), 4) == 2
     tagged = toxicity.tag(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"), "toxic", ~held_out), held_out)
     return tagged.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "spans")
 
@@ -77,7 +82,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import packing
 
     ship(spark)
-    return packing.pack(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), capacity=1024)
+    return packing.pack(_documents(spark, sf_dir), path("byte_bpe_50k.json"), capacity=1024)
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +90,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ship(spark)
     held_out = remainder(F.col("doc_id"), 4) == 2
-    scored = quality_classifier.fit_and_score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "quality", ~held_out)
+    scored = quality_classifier.fit_and_score(_documents(spark, sf_dir), table(spark, sf_dir, "labels"), "quality", ~held_out)
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
