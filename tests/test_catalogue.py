@@ -1,6 +1,7 @@
 """Inventory, usage, chunking and streams."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -79,7 +80,7 @@ def test_code_chunks():
     text = "import x\n\ndef alpha():\n    a = 1\n    return a\n\n\nclass Beta:\n    def run(self):\n        return 2\n"
     spans = chunking.chunks(text, "code:python", chunking.Limits(target=14, most=40))
     assert [s.symbol for s in spans if s.symbol] == ["alpha", "Beta"]
-    for line, name in (("pub async fn go<T>(x: T) {", "go"), ("func (s *Store) Get(id int) {", "Get"), ("export const load = async () => {", "load"), ("CREATE TABLE IF NOT EXISTS items (", "items"), ("x = 1", None)):
+    for line, name in (("pub async fn go<T>(x: T) {", "go"), ("func (s *Store) Get(id int) {", "Get"), ("export const load = async () => {", "load"), ("CREATE TABLE IF NOT EXISTS items (", "items"), ("x = 1", None), ("public partial class Shop {", "Shop"), ('pub extern "C" fn start() {', "start"), ("union Bits {", "Bits"), ("macro_rules! join {", "join"), ("const make = function (a) {", "make"), ("// class Old\n# def gone\ndef kept():", "kept"), ("export const f = async (a: number): Promise<void> => {", "f")):
         assert chunking.symbol_of(line) == name
 
 
@@ -113,3 +114,12 @@ def test_change_stream(spark, tmp_path):
     changes.passes(stream, "1 second").writeStream.outputMode("append").format("memory").queryName("passes").trigger(availableNow=True).start().awaitTermination()
     done = [(r.hints, r.rescan) for r in spark.table("passes").orderBy("start").collect()]
     assert done == [(2, False), (1, True)]
+
+
+def test_chunk_sizes_equal_counts_of_their_text():
+    rng = random.Random(5)
+    text = "".join(rng.choice(["word", "longerword ", " ", "\n", "\n\n", "é!", "漢字", "_", "1234567", ". "]) for _ in range(900))
+    c = chunking.Chunker(text, chunking.Limits())
+    for _ in range(600):
+        a, b = sorted(rng.randrange(len(text) + 1) for _ in range(2))
+        assert c.size(a, b) == chunking.count_tokens(text[a:b])
