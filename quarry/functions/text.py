@@ -34,14 +34,23 @@ def _tables() -> tuple[str, str, dict[str, str]]:
     return "".join(one), "".join(one.values()), many
 
 
+def _ranges(characters) -> str:
+    """A pattern's class of some characters, as ranges."""
+    codes = sorted(map(ord, characters))
+    starts = [c for k, c in enumerate(codes) if not k or codes[k - 1] != c - 1]
+    ends = [c for k, c in enumerate(codes) if k + 1 == len(codes) or codes[k + 1] != c + 1]
+    return "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in zip(starts, ends)) + "]"
+
+
 def fold_characters(c: Column) -> Column:
     """Characters of a search key by JVM expressions, in any script; plain ASCII only changes case."""
     low, (one, to, many) = F.lower(c), _tables()
     single = F.regexp_replace(F.translate(low, one, to), r"\p{M}+", "")
     table = F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in many.items())), F.lit("\x01"), F.lit("\x02"))
     several = F.array_join(F.transform(F.split(single, ""), lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
-    known = "[" + "".join(many) + "]"  # rare, so that most rows need no look at single characters
-    return F.when(F.length(c) == F.octet_length(c), low).when(single.rlike(known), several).otherwise(single)
+    # Rare, so that most rows need no look at single characters; a long class is slow, so that a short one goes first.
+    rare = single.rlike(r"[^\x00-\xBB\xBF-\xFF]") & single.rlike(_ranges(many)) | single.rlike(r"[\xBC-\xBE]")
+    return F.when(F.length(c) == F.octet_length(c), low).when(rare, several).otherwise(single)
 
 
 def fold_key(c: Column) -> Column:
