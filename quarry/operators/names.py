@@ -109,10 +109,11 @@ def search(items: DataFrame, queries: DataFrame, now_ms: int, limit: int = 30, s
     known = indexed(items)
     scored = base_scores(candidates(known, queries)).where(phrases_match(F.col("phrases"), F.col("name_tokens")) | (F.size("phrases") == 0))
     if learned is not None:
-        chosen = learned.select("query_id", "id").distinct().join(batch(queries.where(F.size("phrases") == 0)), "query_id").join(known, "id")
+        learned = learned.select("query_id", "id").distinct().join(batch(queries.where(F.size("phrases") == 0).select("query_id")), "query_id", "left_semi")
+        chosen = learned.join(batch(queries), "query_id").join(known, "id")
         unmatched = chosen.join(scored.select("query_id", "id"), ["query_id", "id"], "left_anti")
         scored = scored.unionByName(unmatched.withColumns({"base": F.lit(0.6), "match": F.lit("suggestion")}))
-        scored = scored.join(learned.select("query_id", "id", F.lit(True).alias("_learned")).distinct(), ["query_id", "id"], "left")
+        scored = scored.join(learned.withColumn("_learned", F.lit(True)), ["query_id", "id"], "left")
     scored = scored.withColumn("score", F.col("base") + prior(now_ms, F.col("source"), F.col("modified"), F.col("attributes"), F.col("path")))
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), F.length("name"), "id")
     if signals is not None:
