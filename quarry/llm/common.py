@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import io
 import os
 import re
@@ -48,6 +50,29 @@ def ship(spark: SparkSession) -> None:
     sc._quarry_shipped = True
 
 
+def release() -> None:
+    """Give freed memory back to the system, where its allocator keeps it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # only glibc has it
+        pass
+
+
+def lean(run):
+    """A generator function for Python workers that releases memory before and after: one worker serves the tasks of all stages, and what an earlier one freed would stay with it."""
+
+    @functools.wraps(run)
+    def wrapped(*args):
+        release()
+        try:
+            yield from run(*args)
+        finally:
+            release()
+
+    return wrapped
+
+
 def file_system(spark: SparkSession, path: str):
     """The file system of a path, and the path as it takes it."""
     found = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stage
+from .common import Stage, lean
 from .components import components
 from .words import grouped_words, mix
 
@@ -112,7 +112,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                     registers.append(sketch(s).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(registers, pa.binary())], names=["id", "n", "digest", "registers"])
 
-    return docs.select("id", "text").mapInArrow(run, "id long, n long, digest binary, registers binary")
+    return docs.select("id", "text").mapInArrow(lean(run), "id long, n long, digest binary, registers binary")
 
 
 def _registers(column) -> np.ndarray:
@@ -132,7 +132,7 @@ def band_keys(classes: DataFrame) -> DataFrame:
             width = keys.shape[1]
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).reshape(-1)), pa.array(np.repeat(np.asarray(batch.column("id")), width)), pa.array(np.repeat(np.asarray(batch.column("n")), width))], names=["key", "id", "n"])
 
-    return classes.select("id", "n", "registers").mapInArrow(run, "key long, id long, n long")
+    return classes.select("id", "n", "registers").mapInArrow(lean(run), "key long, id long, n long")
 
 
 def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -148,7 +148,7 @@ def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
                 p = p[_sized(n, m, percent) & ((p.est >= floor(percent)) | (np.minimum(n, m) < _SMALL))]
                 yield p[["a", "b", *more, "est"]]
 
-    return pairs.join(side("b"), "b").join(side("a"), "a").mapInPandas(run, ", ".join(["a long", "b long", *[f"{c} long" for c in more], "est double"]))
+    return pairs.join(side("b"), "b").join(side("a"), "a").mapInPandas(lean(run), ", ".join(["a long", "b long", *[f"{c} long" for c in more], "est double"]))
 
 
 def floor(percent: int) -> float:
@@ -170,7 +170,7 @@ def _needed(ids: DataFrame, texts: DataFrame) -> DataFrame:
             s = np.asarray(batch.column("s"))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text")], names=["id", "text"]).filter(pa.array(shared.value[s // 64] >> (s % 64) & 1 == 1))
 
-    return texts.select("id", "text", slot.alias("s")).mapInArrow(run, "id long, text string")
+    return texts.select("id", "text", slot.alias("s")).mapInArrow(lean(run), "id long, text string")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, stage: Stage, name: str, percent: int) -> DataFrame:
@@ -204,7 +204,7 @@ def verified(pairs: DataFrame, texts: DataFrame, stage: Stage, name: str, percen
                     kept.pop(next(iter(kept)))
 
     both = pairs.join(found.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(found.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    edges = stage.put(both.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long"), f"{name}-edges")
+    edges = stage.put(both.select("a", "b", "text_a", "text_b").mapInArrow(lean(compare), "a long, b long"), f"{name}-edges")
     stage.drop(f"{name}-texts", f"{name}-pairs")
     return edges
 
@@ -281,7 +281,7 @@ def _many(members: DataFrame, sizes: DataFrame, classes: DataFrame, texts: DataF
             sets = [shingles(h[first[k] : first[k + 1]]).tobytes() for _, h, first in grouped_words(batch.column("text")) for k in range(len(first) - 1)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.binary())], names=["id", "shingles"])
 
-    sets = stage.put(_needed(dealt.select("id").distinct(), texts).mapInArrow(run, "id long, shingles binary"), f"{name}-sets")
+    sets = stage.put(_needed(dealt.select("id").distinct(), texts).mapInArrow(lean(run), "id long, shingles binary"), f"{name}-sets")
     full = dealt.join(classes.select("id", "registers"), "id").join(sets, "id")
     h, columns = F.xxhash64("id", "key"), ("id", "component", "n", "registers", "shingles")
     right = full.select("key", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("l"), F.pmod(h, F.col("alls")).cast("int").alias("r"), *columns, F.lit(False).alias("build"))

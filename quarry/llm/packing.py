@@ -13,6 +13,7 @@ holds its ids and the open bins, which have at most a few thousand pieces.
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 import zlib
@@ -23,11 +24,13 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from .common import lean
+
 #: Chunks that no token crosses: a run of non-space with the space before it, or a run of white space.
 _CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 #: Characters that Python's \s has and Unicode's White_Space has not.
 _ODD = re.compile("[\x1c-\x1f]")
-_CACHED_CHUNKS, _CACHED_LENGTH = 400_000, 48
+_CACHED_CHUNKS, _CACHED_LENGTH = 100_000, 48
 _SCHEMA = pa.schema(
     [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
 )
@@ -58,9 +61,7 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = [x["content"] for x in spec.get("added_tokens") or []]
@@ -72,6 +73,13 @@ class Encoder:
 
             self.cache = _Cache(tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary)
 
+    @functools.cached_property
+    def tokenizer(self):
+        """The tokenizer itself, loaded for the first text that needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def _ranks(self, spec: dict) -> dict[bytes, int] | None:
         """Bytes of each token by rank, if ids follow the order of merges."""
         model, before = spec["model"], spec.get("pre_tokenizer") or {}
@@ -178,4 +186,4 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, id_col: str = "d
         bins.finish()
         yield bins.take()
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, DDL)
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(lean(run), DDL)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stage
+from .common import Stage, lean
 from .words import groups, spans, text_buffers, word_hashes
 
 _CLASSES = {"upper": range(65, 91), "lower": range(97, 123), "digit": range(48, 58), "symbol": b"#*$%&|<>", "mark": b"!?", "stop": b".,;:", "space": b"\t\n\x0b\x0c\r ", "line": b"\n", "high": range(128, 256)}
@@ -74,7 +74,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
             x = statistics(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), N_STATS).cast(pa.list_(pa.float64()))], names=["doc_id", "stats"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, stats array<double>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), "doc_id long, stats array<double>")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -145,7 +145,7 @@ def fit(labelled: DataFrame, features: int = 192, folds: int = 4, ridge: float =
         total = _matrix(table.column("sums").combine_chunks()).sum(0)
         return pa.table({"fold": pa.array([key[0].as_py()], pa.int32()), "i": pa.array([key[1].as_py()], pa.int32()), "sums": pa.array([total.tolist()], pa.list_(pa.float64()))})
 
-    parts = labelled.select("stats", F.col("y").cast("double").alias("y"), fold.alias("fold")).mapInArrow(partial, "fold int, i int, sums array<double>")
+    parts = labelled.select("stats", F.col("y").cast("double").alias("y"), fold.alias("fold")).mapInArrow(lean(partial), "fold int, i int, sums array<double>")
     sums = np.zeros((folds, width, width))
     for r in parts.groupBy("fold", "i").applyInArrow(added, "fold int, i int, sums array<double>").collect():  # folds x width rows
         sums[r.fold, r.i] = r.sums
@@ -165,7 +165,7 @@ def fit(labelled: DataFrame, features: int = 192, folds: int = 4, ridge: float =
         cells = np.flatnonzero(counts.sum(1))
         yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(counts[cells, 0]), pa.array(counts[cells, 1])], names=["cell", "n0", "n1"])
 
-    grid = np.array([list(r) for r in labelled.select("stats", F.col("y").cast("double").alias("y"), fold.alias("fold")).mapInArrow(binned, "cell int, n0 double, n1 double").groupBy("cell").agg(F.sum("n0"), F.sum("n1")).orderBy("cell").collect()])  # GRID rows at most
+    grid = np.array([list(r) for r in labelled.select("stats", F.col("y").cast("double").alias("y"), fold.alias("fold")).mapInArrow(lean(binned), "cell int, n0 double, n1 double").groupBy("cell").agg(F.sum("n0"), F.sum("n1")).orderBy("cell").collect()])  # GRID rows at most
     weight = grid[:, 1] + grid[:, 2]
     model.weights, model.edges = solve(whole), (grid[:, 0] + 0.5) / GRID * 2 - 0.5
     model.levels = pool_adjacent_violators(grid[:, 2] / weight, weight)
@@ -180,7 +180,7 @@ def score(stats: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(shared.value.score(_matrix(b.column("stats"))) if len(b) else [], pa.float64())], names=["doc_id", "score"])
 
-    return stats.mapInArrow(run, "doc_id long, score double")
+    return stats.mapInArrow(lean(run), "doc_id long, score double")
 
 
 def fit_and_score(docs: DataFrame, labels: DataFrame, label: str, learn: Column, stage: Stage | None = None) -> DataFrame:

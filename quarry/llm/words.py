@@ -34,7 +34,7 @@ def _power(kind: str, base: np.uint64, n: int) -> np.ndarray:
         raw = np.full(size, base, dtype=np.uint64)
         raw[0] = 1
         have = np.multiply.accumulate(raw)
-        if size <= 4 * GROUP_BYTES:
+        if size <= GROUP_BYTES + 1:  # those of a longer text are not kept
             _powers[kind] = have
     return have[:n]
 

@@ -1,9 +1,13 @@
 """The pipeline's stages against plain versions of their decisions, each on its own input."""
 
+import os
 from collections import Counter
 
+import pytest
+
 import corpus_pipeline as P
-from quarry.llm import quality_rules
+from quarry.llm import packing, quality_rules
+from quarry.llm.common import lean
 
 from .test_near_dedup import brute
 
@@ -57,3 +61,30 @@ def test_stages_on_odd_rows(spark, sf, odd, tmp_path):
         if name == "near_dedup":
             assert docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").count() == 0
     assert docs.groupBy("doc_id").count().count() > 0
+
+
+def _resident_mb():
+    with open("/proc/self/statm") as f:
+        return int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE") / 1e6
+
+
+def test_workers_give_memory_back_between_stages():
+    """A stage's freed memory is not held while the next one runs in the same worker, also where a later block is still in use."""
+    pinned = []
+
+    def run(n):
+        blocks = [bytes(4_000) for _ in range(n)]
+        pinned.append(bytes(4_000))  # above the others, so the heap's end doesn't move
+        yield len(blocks)
+
+    before = _resident_mb()
+    assert list(lean(run)(50_000)) == [50_000]
+    assert _resident_mb() - before < 60  # 200 MB were in use
+
+
+def test_packing_loads_the_tokenizer_for_texts_that_need_it():
+    e = packing.Encoder(pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json"))
+    e("plain words")
+    assert "tokenizer" not in vars(e)
+    e("odd\x1cwords")
+    assert "tokenizer" in vars(e)
