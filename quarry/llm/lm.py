@@ -134,21 +134,66 @@ def frequent(counts: DataFrame, own: int, local: int, shared: int) -> Words:
     return Words(h, c, bucket, symbols, len(top), shared)
 
 
-def bigrams(docs: DataFrame, words: Words) -> np.ndarray:
-    """Counts of symbol pairs over all texts of docs; a text begins after the end token."""
+def _packed(values: np.ndarray, first: np.ndarray, kind) -> pa.Array:
+    """The values of each text as bytes."""
+    values = np.ascontiguousarray(values, dtype=kind)
+    return pa.Array.from_buffers(pa.binary(), len(first) - 1, [None, pa.py_buffer((first * values.itemsize).astype(np.int32)), pa.py_buffer(values)])
+
+
+def _unpacked(column: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a column of bytes, and where each text's begin (n + 1)."""
+    if not len(column):
+        return np.zeros(0, kind), np.zeros(1, np.int64)
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None else np.zeros(0, np.uint8)
+    return data.copy().view(kind), (ends - ends[0]) // np.dtype(kind).itemsize
+
+
+def encode(docs: DataFrame, words: Words) -> DataFrame:
+    """Each text's tokens as places among the local words, or -1, and hashes and buckets of the others: texts are cut into words once for all sweeps."""
     shared_words = docs.sparkSession.sparkContext.broadcast(words)
 
+    @lean
     def run(batches):
         w = shared_words.value
-        total = np.zeros(w.size * w.size, dtype=np.int64)
         for batch in batches:
             for _, h, bucket, first in _tokens(batch, w.shared):
-                s = w.symbol(w.look_up(h), bucket)
-                total += np.bincount(_before(s, first) * w.size + s, minlength=len(total))
+                at = w.look_up(h)
+                rare = at < 0
+                rare_first = np.append(0, np.cumsum(rare))[first]
+                yield pa.RecordBatch.from_arrays([_packed(at, first, np.int32), _packed(h[rare], rare_first, np.int64), _packed(bucket[rare], rare_first, np.int32)], names=["at", "h", "bucket"])
+
+    return docs.select("text").mapInArrow(run, "at binary, h binary, bucket binary")
+
+
+def _coded(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """Place of each token among the local words, bucket and hash (0 for local words), first token of each text (n + 1)."""
+    at, first = _unpacked(batch.column("at"), np.int32)
+    rare, out = at < 0, []
+    for name, kind in (("bucket", np.int32), ("h", np.int64)):
+        values = np.zeros(len(at), dtype=np.int64)
+        if name in batch.schema.names:
+            values[rare] = _unpacked(batch.column(name), kind)[0]
+        out.append(values)
+    return at.astype(np.int64), *out, first
+
+
+def bigrams(coded: DataFrame, words: Words) -> np.ndarray:
+    """Counts of symbol pairs over all texts; a text begins after the end token."""
+    shared_words = coded.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches):
+        w = shared_words.value
+        total = np.zeros(w.size * w.size, dtype=np.int64)
+        for batch in batches:
+            at, bucket, _, first = _coded(batch)
+            s = w.symbol(at, np.where(at >= 0, np.append(w.buckets, 0)[at], bucket))
+            total += np.bincount(_before(s, first) * w.size + s, minlength=len(total))
         cells = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells])], names=["cell", "n"])
 
-    table = docs.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most size^2 rows
+    table = coded.select("at", "bucket").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most size^2 rows
     out = np.zeros(words.size * words.size)
     out[np.asarray(table.column("cell"))] = np.asarray(table.column("n"))
     return out.reshape(words.size, words.size)
@@ -239,21 +284,21 @@ def best(right: np.ndarray, left: np.ndarray, twice: np.ndarray, old: np.ndarray
     return np.where(gain.max(1) > gain[w, old] + 1e-9, gain.argmax(1), old)
 
 
-def class_pairs(docs: DataFrame, state: State) -> np.ndarray:
+def class_pairs(coded: DataFrame, state: State) -> np.ndarray:
     """Counts of pairs of codes over all texts."""
-    shared_state, size = docs.sparkSession.sparkContext.broadcast(state), 2 * state.classes
+    shared_state, size = coded.sparkSession.sparkContext.broadcast(state), 2 * state.classes
 
     @lean
     def run(batches):
         s, total = shared_state.value, np.zeros(size * size, dtype=np.int64)
         for batch in batches:
-            for _, h, bucket, first in _tokens(batch, s.words.shared):
-                code = s.codes(s.words.look_up(h), bucket)
-                total += np.bincount(_before(code, first) * size + code, minlength=len(total))
+            at, bucket, _, first = _coded(batch)
+            code = s.codes(at, bucket)
+            total += np.bincount(_before(code, first) * size + code, minlength=len(total))
         cells = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells])], names=["cell", "n"])
 
-    table = docs.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most size^2 rows
+    table = coded.select("at", "bucket").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most size^2 rows
     out = np.zeros(size * size)
     out[np.asarray(table.column("cell"))] = np.asarray(table.column("n"))
     return out.reshape(size, size)
@@ -265,23 +310,22 @@ def _folded(pairs: np.ndarray) -> np.ndarray:
     return pairs.reshape(2, n, 2, n).sum((0, 2))
 
 
-def move_local(docs: DataFrame, state: State, joint: np.ndarray) -> np.ndarray:
+def move_local(coded: DataFrame, state: State, joint: np.ndarray) -> np.ndarray:
     """New classes of the local words; those with symbols of their own stay."""
-    shared_state, width = docs.sparkSession.sparkContext.broadcast((state, joint)), 2 * state.classes + 1
+    shared_state, width = coded.sparkSession.sparkContext.broadcast((state, joint)), 2 * state.classes + 1
 
     @lean
     def gather(batches):
         s, _ = shared_state.value
         total, movable = np.zeros((len(s.words.hashes) + 1) * width, dtype=np.int32), np.append(s.words.symbols < 0, False)
         for batch in batches:
-            for _, h, bucket, first in _tokens(batch, s.words.shared):
-                at = s.words.look_up(h)
-                c, before, after = s.codes(at, bucket) % s.classes, _before(h, first) == h, _after(h, first) == h
-                mine = movable[at]
-                right, left = np.where(after, 2 * s.classes, _after(c, first)), s.classes + _before(c, first)
-                np.add.at(total, at[mine] * width + right[mine], 1)
-                mine &= ~before  # a pair with itself counts once
-                np.add.at(total, at[mine] * width + left[mine], 1)
+            at, bucket, _, first = _coded(batch)
+            c, before, after = s.codes(at, bucket) % s.classes, _before(at, first) == at, _after(at, first) == at
+            mine = movable[at]
+            right, left = np.where(after, 2 * s.classes, _after(c, first)), s.classes + _before(c, first)
+            np.add.at(total, at[mine] * width + right[mine], 1)
+            mine &= ~before  # a pair with itself counts once
+            np.add.at(total, at[mine] * width + left[mine], 1)
         cells = np.flatnonzero(total)
         cut = np.flatnonzero(np.append(True, np.diff(cells // (_BLOCK * width)) > 0)) if len(cells) else np.zeros(0, np.int64)
         for a, b in zip(cut, np.append(cut[1:], len(cells))):
@@ -302,35 +346,35 @@ def move_local(docs: DataFrame, state: State, joint: np.ndarray) -> np.ndarray:
             new = best(total[:, : s.classes], total[:, s.classes : -1], total[:, -1], s.local[at], joint)
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(new.astype(np.int32))], names=["at", "class"])
 
-    gathered = docs.select("text").mapInArrow(gather, "block int, cells binary, n binary")
+    gathered = coded.select("at", "bucket").mapInArrow(gather, "block int, cells binary, n binary")
     table = gathered.repartition(F.col("block")).mapInArrow(settle, "at long, class int").toArrow()  # at most a row for each local word
     out = state.local.copy()
     out[np.asarray(table.column("at"))] = np.asarray(table.column("class"))
     return out
 
 
-def move_rare(docs: DataFrame, state: State, joint: np.ndarray) -> DataFrame:
+def move_rare(coded: DataFrame, state: State, joint: np.ndarray) -> DataFrame:
     """h, c, class, after of each word that isn't local: its count, its new class, and the other such words after it.
 
     Rows without h have the pairs of such words with local ones and with themselves: c of the cell `class` of class pairs.
     """
-    shared_state = docs.sparkSession.sparkContext.broadcast((state, joint))
+    shared_state = coded.sparkSession.sparkContext.broadcast((state, joint))
     width = 2 * state.classes + 1  # codes of what stands beside, or the word itself
 
     @lean
     def gather(batches):
         s, _ = shared_state.value
         for batch in batches:
-            for _, h, bucket, first in _tokens(batch, s.words.shared):
-                code, after = s.codes(s.words.look_up(h), bucket), _after(h, first)
-                right = np.where(after == h, width - 1, _after(code, first))
-                left = np.where(_before(h, first) == h, width - 1, _before(code, first))
-                mine = np.flatnonzero(code >= s.classes)
-                right, linked = right[mine], (right[mine] >= s.classes) & (right[mine] < width - 1)
-                packed = (bucket[mine] * width + left[mine]) * width + right
-                for a in range(0, len(mine), 100_000):
-                    cut = slice(a, a + 100_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(h[mine][cut]), pa.array(packed[cut]), pa.array(after[mine][cut], mask=~linked[cut])], names=["h", "packed", "after"])
+            at, bucket, h, first = _coded(batch)
+            code, after = s.codes(at, bucket), _after(h, first)
+            right = np.where(after == h, width - 1, _after(code, first))
+            left = np.where(_before(h, first) == h, width - 1, _before(code, first))
+            mine = np.flatnonzero(code >= s.classes)
+            right, linked = right[mine], (right[mine] >= s.classes) & (right[mine] < width - 1)
+            packed = (bucket[mine] * width + left[mine]) * width + right
+            for a in range(0, len(mine), 100_000):
+                cut = slice(a, a + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(h[mine][cut]), pa.array(packed[cut]), pa.array(after[mine][cut], mask=~linked[cut])], names=["h", "packed", "after"])
 
     @lean
     def settle(batches):
@@ -371,7 +415,7 @@ def move_rare(docs: DataFrame, state: State, joint: np.ndarray) -> DataFrame:
         at = np.flatnonzero(cells)
         yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int64()), pa.array(cells.ravel()[at]), pa.array(at.astype(np.int32)), pa.nulls(len(at), pa.list_(pa.int64()))], names=["h", "c", "class", "after"])
 
-    gathered = docs.select("text").mapInArrow(gather, "h long, packed long, after long")
+    gathered = coded.mapInArrow(gather, "h long, packed long, after long")
     return gathered.repartition(F.col("h")).sortWithinPartitions("h").mapInArrow(settle, "h long, c long, class int, after array<long>")
 
 
@@ -392,19 +436,21 @@ def fit(training: DataFrame, stage: Stage, own: int = 1500, shared: int = 64, lo
     words = frequent(counts, own, local_words, shared)
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     stage.drop("counts")
-    seed = bigrams(training, words)
+    coded = stage.put(encode(training, words), "coded")
+    seed = bigrams(coded, words)
     classes = min(classes, words.size)
     member = exchange(seed, classes)
     state = State(words, member[np.where(words.symbols >= 0, words.symbols, words.own + words.buckets)], member[words.own :], classes)
-    pairs = class_pairs(training, state)
+    pairs = class_pairs(coded, state)
     for _ in range(sweeps if (words.symbols < 0).any() else 0):
-        moved = replace(state, local=move_local(training, state, _folded(pairs)))
-        new = class_pairs(training, moved)
+        moved = replace(state, local=move_local(coded, state, _folded(pairs)))
+        new = class_pairs(coded, moved)
         if likelihood(_folded(new)) <= likelihood(_folded(pairs)):
             break
         state, pairs = moved, new
     joint, distinct = pairs[:classes, :classes].copy(), np.bincount(state.local, minlength=classes).astype(float)
-    rare = stage.put(move_rare(training, state, _folded(pairs)), "rare")
+    rare = stage.put(move_rare(coded, state, _folded(pairs)), "rare")
+    stage.drop("coded")
     for r in rare.where("h is null").groupBy("class").agg(F.sum("c").alias("n")).collect():  # classes^2 rows
         joint[divmod(r["class"], classes)] += r.n
     table = rare.where("h is not null").select("h", "c", "class")
